@@ -11,6 +11,8 @@ from __future__ import annotations
 from functools import reduce
 from itertools import product
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -191,7 +193,24 @@ def label_metrics(
     )
 
 
-def border_distances(gt: DataFrame, pred: DataFrame, meta: DataFrame, first_radius: float = 4.0) -> DataFrame:
+@F.pandas_udf("array<double>")
+def _nearest2(cy: pd.Series, cx: pd.Series, ty: pd.Series, tx: pd.Series, dz2: pd.Series, sy: pd.Series, sx: pd.Series) -> pd.Series:
+    """Smallest squared distance of every cell of a slice to the cells of another slice; null when there are none."""
+    out = []
+    for y, x, v, u, base, step_y, step_x in zip(cy, cx, ty, tx, dz2, sy, sx):
+        if v is None or len(v) == 0:
+            out.append(None)
+            continue
+        best = np.empty(len(y))
+        rows = max(1, 4_000_000 // len(v))
+        for i in range(0, len(y), rows):
+            gap = (np.subtract.outer(y[i : i + rows], v) * step_y) ** 2 + (np.subtract.outer(x[i : i + rows], u) * step_x) ** 2
+            best[i : i + rows] = gap.min(axis=1)
+        out.append(best + base)
+    return pd.Series(out)
+
+
+def border_distances(gt: DataFrame, pred: DataFrame, meta: DataFrame, first_radius: float = 2.0) -> DataFrame:
     """Exact squared mm distance from border cells to the other side's border.
 
     Returns ``(case_id, label, side, code, d2, n)``: cells counted by code and distance. Only labels with a border on
@@ -200,30 +219,31 @@ def border_distances(gt: DataFrame, pred: DataFrame, meta: DataFrame, first_radi
     """
     slices = border_slices(both_sides(gt, pred))
     paired = slices.groupBy("case_id", "label").agg(F.count_distinct("side").alias("n")).where("n = 2")
-    slices = cut_lineage(
-        slices.join(paired, ["case_id", "label"], "left_semi").join(meta.select("case_id", "sz", "sy", "sx"), "case_id")
+    flat = slices.join(paired, ["case_id", "label"], "left_semi").join(meta.select("case_id", "sz", "sy", "sx"), "case_id")
+    flat = flat.selectExpr(
+        *SURFACE, "z", "sz", "sy", "sx", "flatten(transform(lines, l -> transform(l.cells, c -> named_struct('y', l.y, 'x', c.x, 'code', c.code)))) AS cells"
     )
-    asking = slices.selectExpr(*SURFACE, "z", "flatten(transform(lines, l -> transform(l.cells, c -> named_struct('y', l.y, 'x', c.x, 'code', c.code)))) AS cells")
+    slices = cut_lineage(flat.selectExpr(*SURFACE, "z", "sz", "sy", "sx", "cells.y AS ys", "cells.x AS xs", "cells.code AS codes"))
+    asking = slices.select(*SURFACE, "z", "ys", "xs", "codes")
     settled, radius = [], float(first_radius)
     while True:
-        r = f"{radius}D"
+        reach = f"cast(floor({radius}D / sz) AS int)"
         offered = slices.selectExpr(
-            "case_id", "label", "1 - side AS side", "z", "sz", "sy", "sx", "lines",
-            f"explode(sequence(-cast(floor({r} / sz) AS int), cast(floor({r} / sz) AS int))) AS dz",
-        ).selectExpr(*SURFACE, "z + dz AS z", "sy", "sx", "lines", "pow(dz * sz, 2) AS dz2")
+            "case_id", "label", "1 - side AS side", "z", "sz", "sy", "sx", "ys AS ty", "xs AS tx", f"explode(sequence(-{reach}, {reach})) AS dz"
+        ).selectExpr(*SURFACE, "z + dz AS z", "sy", "sx", "ty", "tx", "pow(dz * sz, 2) AS dz2")
         pairs = asking.join(offered, [*SURFACE, "z"], "left")
-        per_cell = pairs.selectExpr(
-            *SURFACE, "z",
-            """inline(transform(cells, c -> named_struct('y', c.y, 'x', c.x, 'code', c.code, 'd2', array_min(transform(lines,
-                 m -> dz2 + pow((m.y - c.y) * sy, 2) + pow(array_min(transform(m.cells, d -> abs(d.x - c.x))) * sx, 2))))))""",
-        ).groupBy(*SURFACE, "z", "y", "x", "code").agg(F.min("d2").alias("d2"))
-        best = cut_lineage(per_cell)
+        near = pairs.select(*SURFACE, "z", "ys", "xs", "codes", _nearest2("ys", "xs", "ty", "tx", "dz2", "sy", "sx").alias("d2s"))
+        per_cell = near.selectExpr(
+            *SURFACE, "z", "inline(transform(ys, (v, i) -> named_struct('y', v, 'x', xs[i], 'code', codes[i], 'd2', d2s[i])))",
+        )
+        best = cut_lineage(per_cell.groupBy(*SURFACE, "z", "y", "x", "code").agg(F.min("d2").alias("d2")))
         done = F.coalesce(F.col("d2") <= radius * radius, F.lit(False))
         settled.append(best.where(done))
         rest = best.where(~done)
         if rest.isEmpty():
             break
-        asking = rest.groupBy(*SURFACE, "z").agg(F.collect_list(F.struct("y", "x", "code")).alias("cells"))
+        open_cells = rest.groupBy(*SURFACE, "z").agg(F.collect_list(F.struct("y", "x", "code")).alias("cells"))
+        asking = open_cells.selectExpr(*SURFACE, "z", "cells.y AS ys", "cells.x AS xs", "cells.code AS codes")
         radius *= 2
     cells = reduce(DataFrame.unionByName, settled)
     return cells.groupBy(*SURFACE, "code", "d2").agg(F.count(F.lit(1)).alias("n"))

@@ -15,6 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from voxtally.operators.components import mask_runs
 from voxtally.operators.overlap import dice_column, label_tallies
@@ -193,7 +194,7 @@ def label_metrics(
     )
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def _nearest2(cy: pd.Series, cx: pd.Series, ty: pd.Series, tx: pd.Series, dz2: pd.Series, sy: pd.Series, sx: pd.Series) -> pd.Series:
     """Smallest squared distance of every cell of a slice to the cells of another slice; null when there are none."""
     out = []

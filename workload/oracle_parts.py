@@ -129,4 +129,6 @@ def sql(parts: list[str], body: str) -> str:
         else:
             hint = "MATERIALIZED " if name not in ("facets", "ball") else ""
             ctes.append(f"{name} AS {hint}({PARTS[name][1]})")
+    if not ctes:
+        return "WITH" + body.lstrip()[1:] if body.lstrip().startswith(",") else body
     return f"WITH {'RECURSIVE ' if recursive else ''}{', '.join(ctes)} {body}"

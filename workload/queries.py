@@ -1,6 +1,6 @@
 """All registered queries; importing a module registers its own."""
 
-from workload import masks, pointing  # noqa: F401
+from workload import masks, pointing, tables  # noqa: F401
 from workload.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -130,16 +130,24 @@ def center_with_margin(axis: str, size: Column, margin_mm: float) -> Column:
     return F.when((width > 0) & (low <= high), moved.cast("double")).otherwise(midpoint(axis))
 
 
-def bbox_window(axis: str, size: Column, margin: int, center: Column | None = None) -> tuple[Column, Column]:
-    """Start and stop of a window that holds the box ``bb_z0 .. bb_x1`` plus margin if it fits, near the centre."""
-    dim = F.col(DIM[axis])
-    width = F.least(size, dim)
-    region_low = F.greatest(F.col(f"bb_{axis}0") - margin, F.lit(0))
-    region_high = F.least(F.col(f"bb_{axis}1") + margin, dim)
-    low, high = F.greatest(F.lit(0), region_high - width), F.least(region_low, dim - width)
-    wish = F.rint(midpoint(axis) if center is None else center) - F.floor(width / 2)
-    start = F.when(low <= high, clip(wish, low, high)).otherwise(clip(wish, 0, dim - width)).cast("int")
-    return start, start + width.cast("int")
+def bbox_windows(df: DataFrame, widths: dict[str, Column], margins: dict[str, int]) -> DataFrame:
+    """Add windows ``w_z0 .. w_x1`` that hold the box ``bb_z0 .. bb_x1`` plus margin if it fits, near the midpoint.
+
+    Built in stages, so that no expression repeats another inside generated code.
+    """
+    out = df.withColumns({f"_width_{a}": F.least(w, F.col(DIM[a])).cast("int") for a, w in widths.items()})
+    out = out.withColumns({
+        **{f"_low_{a}": F.greatest(F.lit(0), F.least(F.col(f"bb_{a}1") + margins[a], F.col(DIM[a])) - F.col(f"_width_{a}")) for a in widths},
+        **{f"_high_{a}": F.least(F.greatest(F.col(f"bb_{a}0") - margins[a], F.lit(0)), F.col(DIM[a]) - F.col(f"_width_{a}")) for a in widths},
+        **{f"_wish_{a}": F.rint(midpoint(a)) - F.floor(F.col(f"_width_{a}") / 2) for a in widths},
+    })
+    out = out.withColumns({
+        f"w_{a}0": F.when(F.col(f"_low_{a}") <= F.col(f"_high_{a}"), clip(F.col(f"_wish_{a}"), F.col(f"_low_{a}"), F.col(f"_high_{a}")))
+        .otherwise(clip(F.col(f"_wish_{a}"), 0, F.col(DIM[a]) - F.col(f"_width_{a}"))).cast("int")
+        for a in widths
+    })
+    out = out.withColumns({f"w_{a}1": F.col(f"w_{a}0") + F.col(f"_width_{a}") for a in widths})
+    return out.drop(*[f"_{part}_{a}" for part in ("width", "low", "high", "wish") for a in widths])
 
 
 def flip_endpoints(df: DataFrame, axes: str) -> DataFrame:

@@ -19,6 +19,11 @@ PLAN = ["nz", "ny", "nx", "mz", "my", "mx", "near_z", "near_y", "near_x"]
 ANISOTROPY = 3.0
 
 
+def single(value: Column) -> Column:
+    """Rounded to single precision, in which zooms are defined, so that sizes round alike."""
+    return value.cast("float").cast("double")
+
+
 def zoom_plan(meta: DataFrame, zoom: dict[str, Column], near: dict[str, Column]) -> DataFrame:
     sizes = {f"m{a}": F.rint(F.col(DIM[a]) * zoom[a]).cast("int") for a in "zyx"}
     return meta.withColumns({**sizes, **{f"near_{a}": near[a] for a in "zyx"}, **{f"zoom_{a}": zoom[a] for a in "zyx"}})
@@ -34,7 +39,7 @@ def spacing_plan(meta: DataFrame, target_xyz: tuple[float, float, float], mode:
         raise ValueError(f"unknown resampling mode {mode!r}")
     target = dict(zip("xyz", (float(v) for v in target_xyz)))
     same = F.expr(" AND ".join(f"abs(s{a} - {t}D) <= 1e-6D + 1e-5D * {t}D" for a, t in target.items()))
-    zoom = {a: F.when(same, F.lit(1.0)).otherwise(F.col(f"s{a}") / F.lit(target[a])) for a in "zyx"}
+    zoom = {a: F.when(same, F.lit(1.0)).otherwise(single(single(F.col(f"s{a}")) / single(F.lit(target[a])))) for a in "zyx"}
     low = F.lit(False)
     near = {}
     largest, smallest = F.greatest("sz", "sy", "sx"), F.least("sz", "sy", "sx")
@@ -49,7 +54,7 @@ def spacing_plan(meta: DataFrame, target_xyz: tuple[float, float, float], mode:
 def shape_plan(meta: DataFrame, size_zyx: tuple[int, int, int], nearest: bool = False) -> DataFrame:
     """Plan to an exact shape."""
     sizes = {f"m{a}": F.lit(int(s)) for a, s in zip("zyx", size_zyx)}
-    zoom = {f"zoom_{a}": F.lit(float(s)) / F.greatest(F.col(DIM[a]), F.lit(1)) for a, s in zip("zyx", size_zyx)}
+    zoom = {f"zoom_{a}": single(F.lit(float(s)) / F.greatest(F.col(DIM[a]), F.lit(1))) for a, s in zip("zyx", size_zyx)}
     return meta.withColumns({**sizes, **zoom, **{f"near_{a}": F.lit(nearest) for a in "zyx"}})
 
 
@@ -112,7 +117,7 @@ def project_voxels(mask: DataFrame, plan: DataFrame) -> DataFrame:
     """Every voxel's image under the zoom, so that small targets survive shrinking."""
     cols = ["mz", "my", "mx", "zoom_z", "zoom_y", "zoom_x"]
     joined = mask.select("case_id", "z", "y", "x").join(plan.select("case_id", *cols), "case_id")
-    out = joined.withColumns({a: clip(F.floor((F.col(a) + 0.5) * F.col(f"zoom_{a}")), 0, F.col(f"m{a}") - 1).cast("int") for a in "zyx"})
+    out = joined.withColumns({a: clip(F.floor(single((F.col(a) + 0.5) * F.col(f"zoom_{a}"))), 0, F.col(f"m{a}") - 1).cast("int") for a in "zyx"})
     return out.select("case_id", "z", "y", "x").distinct()
 
 

@@ -1,6 +1,6 @@
 """All registered queries; importing a module registers its own."""
 
-from workload import masks, pointing, tables  # noqa: F401
-from workload.registry import ORACLES, QUERIES
+from workload import dense, masks, pointing, tables  # noqa: F401
+from workload.registry import QUERIES, oracles
 
-__all__ = ["ORACLES", "QUERIES"]
+__all__ = ["QUERIES", "oracles"]

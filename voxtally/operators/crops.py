@@ -30,18 +30,21 @@ def crop_endpoints(prompts: DataFrame) -> DataFrame:
     return moved.withColumns({**shape, "slice": F.expr("cast(rint((az + bz) / 2) AS int)")})
 
 
-def pad_lines(lines: DataFrame, shapes: DataFrame, size_zyx: tuple[int, int, int], value: float = 0.0) -> DataFrame:
-    """Pad at the ends, or trim, to a size. ``shapes(case_id, restore_z, restore_y, restore_x)`` is the unpadded shape."""
-    depth, height, width = (int(s) for s in size_zyx)
-    kept = lines.where((F.col("z") < depth) & (F.col("y") < height)).withColumn(
-        "vals", F.slice(F.concat("vals", F.array_repeat(F.lit(float(value)), F.greatest(F.lit(width) - F.size("vals"), F.lit(0)))), 1, width)
-    )
+def pad_lines(lines: DataFrame, shapes: DataFrame, size_zyx: tuple, value: float = 0.0) -> DataFrame:
+    """Pad at the ends, or trim, to a size: numbers, or names of columns of ``shapes``.
+
+    ``shapes(case_id, restore_z, restore_y, restore_x, ..)`` is the unpadded shape.
+    """
+    size = [F.col(s) if isinstance(s, str) else F.lit(int(s)) for s in size_zyx]
+    sized = shapes.select("case_id", "restore_z", "restore_y", *[s.alias(f"pad_{a}") for a, s in zip("zyx", size)])
+    fill = F.array_repeat(F.lit(float(value)), F.greatest(F.col("pad_x") - F.size("vals"), F.lit(0)))
+    kept = lines.join(sized, "case_id").where("z < pad_z AND y < pad_y").withColumn("vals", F.slice(F.concat("vals", fill), F.lit(1), F.col("pad_x")))
     added = (
-        shapes.where((F.col("restore_z") < depth) | (F.col("restore_y") < height))
-        .select("case_id", "restore_z", "restore_y", F.explode(F.sequence(F.lit(0), F.lit(depth - 1))).alias("z"))
-        .select("case_id", "restore_z", "restore_y", "z", F.explode(F.sequence(F.lit(0), F.lit(height - 1))).alias("y"))
+        sized.where("restore_z < pad_z OR restore_y < pad_y")
+        .selectExpr("*", "explode(sequence(0, pad_z - 1)) AS z")
+        .selectExpr("*", "explode(sequence(0, pad_y - 1)) AS y")
         .where("z >= restore_z OR y >= restore_y")
-        .select("case_id", "z", "y", F.array_repeat(F.lit(float(value)), width).alias("vals"))
+        .select("case_id", "z", "y", F.array_repeat(F.lit(float(value)), F.col("pad_x")).alias("vals"))
     )
     return kept.select("case_id", "z", "y", "vals").unionByName(added)
 

@@ -330,8 +330,8 @@ PARTS["fit_crop"] = (["fit_frame", "fit_mask"], "SELECT *, " + ", ".join(f"CAST(
 
 @query("bbox_fit_crop", ["fit_crop", "fit_mask"], "SELECT c.case_id, rescaled, " + ", ".join(f"s_{a}0, s_{a}1, w_{a}0, w_{a}0 + wide_{a} AS w_{a}1, round(zoom_{a}, 6) AS zoom_{a}" for a in "zyx") + ", " + ", ".join(
     f"round(greatest(0, least(e_{e} - w_{e[1]}0, {11 if e[1] == 'z' else 23})), 5) AS {chr(34) + e + chr(34)}" for e in geo.ENDS)
-  + """, voxels, round(count(m.z) / voxels, 6) AS coverage FROM fit_crop c LEFT JOIN fit_mask m ON m.case_id = c.case_id AND m.z >= w_z0 AND m.z < w_z0 + wide_z AND m.y >= w_y0 AND m.y < w_y0 + wide_y
-    AND m.x >= w_x0 AND m.x < w_x0 + wide_x GROUP BY ALL""")
+  + """, voxels, round(coalesce(n, 0) / voxels, 6) AS coverage FROM fit_crop c LEFT JOIN (SELECT c.case_id, count(*) AS n FROM fit_crop c JOIN fit_mask m ON m.case_id = c.case_id AND m.z >= w_z0
+    AND m.z < w_z0 + wide_z AND m.y >= w_y0 AND m.y < w_y0 + wide_y AND m.x >= w_x0 AND m.x < w_x0 + wide_x GROUP BY 1) k ON k.case_id = c.case_id""")
 def bbox_fit_crop(spark, d):
     plan, mask = _fit(spark, d)
     out = plans.bbox_fit_crop(plan, mask, *_FIT)

@@ -1,13 +1,14 @@
 """Surface metrics between two labelled masks.
 
 A border cell sits on a corner shared by eight voxels; its code says which of them the mask holds.
-The unit of work is the slice: all border cells of one (case, label, side, z) travel as one row of nested
-lines, so the tolerance test ships a slice to its few neighbouring slices instead of every cell to every offset.
+The unit of work is the slice: all border cells of one (case, label, side, z) travel as one row of
+arrays, so the tolerance test ships a slice to its few neighbouring slices instead of every cell to every offset.
 No group is larger than a slice. Areas are summed per code as counts and turned into mm2 at the end.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 from itertools import product
 
@@ -96,10 +97,10 @@ def both_sides(gt: DataFrame, pred: DataFrame) -> DataFrame:
 
 
 def border_slices(sides: DataFrame) -> DataFrame:
-    """``(case_id, label, side, z, lines)``, lines = array of (y, cells of (x, code)).
+    """``(case_id, label, side, z, ys, xs, codes)``: the border cells of a slice as three arrays.
 
-    A voxel adds to the eight cells at its corners. Runs carry that through the one shuffle, on the slice; cells, lines
-    and slices are then built inside its partitions.
+    A voxel adds to the eight cells at its corners. Runs carry that through the one shuffle, on the slice; cells and slices
+    are then built inside its partitions.
     """
     runs = mask_runs(sides, tuple(SURFACE))
     corners = ", ".join(
@@ -117,8 +118,8 @@ def border_slices(sides: DataFrame) -> DataFrame:
         .agg(F.sum("bits").cast("int").alias("code"))
         .where("code < 255")
     )
-    lines = cells.groupBy(*SURFACE, "z", "y").agg(F.collect_list(F.struct("x", "code")).alias("cells"))
-    return lines.groupBy(*SURFACE, "z").agg(F.collect_list(F.struct("y", "cells")).alias("lines"))
+    packed = cells.groupBy(*SURFACE, "z").agg(F.collect_list(F.struct("y", "x", "code")).alias("c"))
+    return packed.selectExpr(*SURFACE, "z", "c.y AS ys", "c.x AS xs", "c.code AS codes")
 
 
 def _areas(counts: DataFrame, meta: DataFrame) -> DataFrame:
@@ -128,32 +129,52 @@ def _areas(counts: DataFrame, meta: DataFrame) -> DataFrame:
     return spaced.withColumn("area", F.expr(_AREA)).drop("facets", "sz", "sy", "sx")
 
 
+def _pair_blocks(y, x, v, u, step_y: float, step_x: float) -> Iterator[tuple[int, np.ndarray]]:
+    """Squared in-plane distances between two sets of cells, a bounded block of rows at a time."""
+    rows = max(1, 4_000_000 // max(len(v), 1))
+    for i in range(0, len(y), rows):
+        yield i, (np.subtract.outer(y[i : i + rows], v) * step_y) ** 2 + (np.subtract.outer(x[i : i + rows], u) * step_x) ** 2
+
+
+@F.pandas_udf(T.ArrayType(T.BooleanType()))
+def _any_within(
+    ys: pd.Series, xs: pd.Series, ty: pd.Series, tx: pd.Series, room: pd.Series, sy: pd.Series, sx: pd.Series
+) -> pd.Series:
+    """Whether each cell of a slice has a target whose in-plane squared distance is within that target's ``room``."""
+    out = []
+    for y, x, v, u, r, step_y, step_x in zip(ys, xs, ty, tx, room, sy, sx):
+        hit = np.zeros(len(y), dtype=bool)
+        for i, gap in _pair_blocks(y, x, v, u, step_y, step_x):
+            hit[i : i + len(gap)] = (gap <= r).any(axis=1)
+        out.append(hit)
+    return pd.Series(out)
+
+
 def surface_within(gt: DataFrame, pred: DataFrame, meta: DataFrame, tolerance: float = 2.0, keep: DataFrame | None = None) -> DataFrame:
     """Border area per ``(case_id, label, side)`` in total and within ``tolerance`` mm of the other side.
 
+    Every slice is offered to the slices of the other side within tolerance along z, a fixed few, and meets them in one group.
     ``keep(case_id, label)`` limits the work to labels that need it.
     """
     slices = border_slices(both_sides(gt, pred)).join(meta.select("case_id", "sz", "sy", "sx"), "case_id")
     if keep is not None:
         slices = slices.join(keep.select("case_id", "label"), ["case_id", "label"], "left_semi")
     tol = f"{float(tolerance)}D"
-    asking = slices.selectExpr(*SURFACE, "z", "sz", "sy", "sx", "lines", "0D AS dz2", "true AS asks")
+    asking = slices.selectExpr(*SURFACE, "z", "sy", "sx", "ys", "xs", "codes", "cast(null AS array<double>) AS room")
     offered = slices.selectExpr(
-        "case_id", "label", "1 - side AS side", "z", "sz", "sy", "sx", "lines",
+        "case_id", "label", "1 - side AS side", "z", "sz", "sy", "sx", "ys", "xs",
         f"explode(sequence(-cast(floor({tol} / sz) AS int), cast(floor({tol} / sz) AS int))) AS dz",
-    ).selectExpr(*SURFACE, "z + dz AS z", "sz", "sy", "sx", "lines", "pow(dz * sz, 2) AS dz2", "false AS asks")
+    ).selectExpr(*SURFACE, "z + dz AS z", "sy", "sx", "ys", "xs", "cast(null AS array<int>) AS codes", f"array_repeat(pow({tol}, 2) - pow(dz * sz, 2), size(ys)) AS room")
     met = asking.unionByName(offered).groupBy(*SURFACE, "z").agg(
         F.any_value("sy").alias("sy"), F.any_value("sx").alias("sx"),
-        F.flatten(F.collect_list(F.when(F.col("asks"), F.col("lines")))).alias("lines"),
-        F.collect_list(F.when(~F.col("asks"), F.struct("dz2", "lines"))).alias("near"),
+        *[F.flatten(F.collect_list(F.when(F.col("codes").isNotNull(), F.col(c)))).alias(c) for c in ("ys", "xs")],
+        F.flatten(F.collect_list("codes")).alias("codes"), F.flatten(F.collect_list("room")).alias("room"),
+        *[F.flatten(F.collect_list(F.when(F.col("codes").isNull(), F.col(c)))).alias(f"t{c}") for c in ("ys", "xs")],
+    ).where("size(codes) > 0")
+    hits = met.withColumn("hits", _any_within("ys", "xs", "tys", "txs", "room", "sy", "sx"))
+    counts = hits.selectExpr(*SURFACE, "inline(arrays_zip(codes, hits))").groupBy(*SURFACE, F.col("codes").alias("code")).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("hits").alias("hits")
     )
-    tested = met.where("size(lines) > 0").selectExpr(
-        *SURFACE,
-        f"""inline(flatten(transform(lines, l -> transform(l.cells, c -> named_struct('code', c.code, 'hit', exists(near,
-              n -> exists(n.lines, m -> n.dz2 + pow((m.y - l.y) * sy, 2) <= pow({tol}, 2) and exists(m.cells,
-              d -> n.dz2 + pow((m.y - l.y) * sy, 2) + pow((d.x - c.x) * sx, 2) <= pow({tol}, 2))))))))) """,
-    )
-    counts = tested.groupBy(*SURFACE, "code").agg(F.count(F.lit(1)).alias("n"), F.count_if("hit").alias("hits"))
     return _areas(counts, meta).groupBy(*SURFACE).agg(
         F.sum(F.expr("n * area")).alias("area"), F.sum(F.expr("hits * area")).alias("near_area")
     )
@@ -203,10 +224,8 @@ def _nearest2(cy: pd.Series, cx: pd.Series, ty: pd.Series, tx: pd.Series, dz2: p
             out.append(None)
             continue
         best = np.empty(len(y))
-        rows = max(1, 4_000_000 // len(v))
-        for i in range(0, len(y), rows):
-            gap = (np.subtract.outer(y[i : i + rows], v) * step_y) ** 2 + (np.subtract.outer(x[i : i + rows], u) * step_x) ** 2
-            best[i : i + rows] = gap.min(axis=1)
+        for i, gap in _pair_blocks(y, x, v, u, step_y, step_x):
+            best[i : i + len(gap)] = gap.min(axis=1)
         out.append(best + base)
     return pd.Series(out)
 
@@ -221,10 +240,7 @@ def border_distances(gt: DataFrame, pred: DataFrame, meta: DataFrame, first_radi
     slices = border_slices(both_sides(gt, pred))
     paired = slices.groupBy("case_id", "label").agg(F.count_distinct("side").alias("n")).where("n = 2")
     flat = slices.join(paired, ["case_id", "label"], "left_semi").join(meta.select("case_id", "sz", "sy", "sx"), "case_id")
-    flat = flat.selectExpr(
-        *SURFACE, "z", "sz", "sy", "sx", "flatten(transform(lines, l -> transform(l.cells, c -> named_struct('y', l.y, 'x', c.x, 'code', c.code)))) AS cells"
-    )
-    slices = cut_lineage(flat.selectExpr(*SURFACE, "z", "sz", "sy", "sx", "cells.y AS ys", "cells.x AS xs", "cells.code AS codes"))
+    slices = cut_lineage(flat)
     asking = slices.select(*SURFACE, "z", "ys", "xs", "codes")
     settled, radius = [], float(first_radius)
     while True:

@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from voxtally.operators.components import mask_runs
 from voxtally.operators.overlap import dice_column, label_tallies
-from voxtally.session import cut_lineage
+from voxtally.session import cut_lineage, small_side
 
 SURFACE = ["case_id", "label", "side"]
 
@@ -125,10 +125,16 @@ def border_slices(sides: DataFrame) -> DataFrame:
 def _areas(counts: DataFrame, meta: DataFrame) -> DataFrame:
     """Attach the area of one cell of each code under the case's spacing."""
     facets = F.broadcast(facet_table(counts.sparkSession))
-    spaced = counts.join(meta.select("case_id", "sz", "sy", "sx"), "case_id").join(facets, "code")
+    spaced = counts.join(meta, [c for c in ("case_id", "label") if c in meta.columns and c in counts.columns]).join(facets, "code")
     return spaced.withColumn("area", F.expr(_AREA)).drop("facets", "sz", "sy", "sx")
 
 
+def _spacing(meta: DataFrame, keep: DataFrame | None = None) -> DataFrame:
+    """Spacing per case, or per wanted (case, label), broadcast if its count allows."""
+    spacing = meta.select("case_id", "sz", "sy", "sx")
+    return small_side(spacing if keep is None else spacing.join(keep.select("case_id", "label"), "case_id"))
+
+
 def _pair_blocks(y, x, v, u, step_y: float, step_x: float) -> Iterator[tuple[int, np.ndarray]]:
     """Squared in-plane distances between two sets of cells, a bounded block of rows at a time."""
     rows = max(1, 4_000_000 // max(len(v), 1))
@@ -156,9 +162,8 @@ def surface_within(gt: DataFrame, pred: DataFrame, meta: DataFrame, tolerance: f
     Every slice is offered to the slices of the other side within tolerance along z, a fixed few, and meets them in one group.
     ``keep(case_id, label)`` limits the work to labels that need it.
     """
-    slices = border_slices(both_sides(gt, pred)).join(meta.select("case_id", "sz", "sy", "sx"), "case_id")
-    if keep is not None:
-        slices = slices.join(keep.select("case_id", "label"), ["case_id", "label"], "left_semi")
+    frames = _spacing(meta, keep)
+    slices = border_slices(both_sides(gt, pred)).join(frames, ["case_id"] if keep is None else ["case_id", "label"])
     tol = f"{float(tolerance)}D"
     asking = slices.selectExpr(*SURFACE, "z", "sy", "sx", "ys", "xs", "codes", "cast(null AS array<double>) AS room")
     offered = slices.selectExpr(
@@ -175,7 +180,7 @@ def surface_within(gt: DataFrame, pred: DataFrame, meta: DataFrame, tolerance: f
     counts = hits.selectExpr(*SURFACE, "inline(arrays_zip(codes, hits))").groupBy(*SURFACE, F.col("codes").alias("code")).agg(
         F.count(F.lit(1)).alias("n"), F.count_if("hits").alias("hits")
     )
-    return _areas(counts, meta).groupBy(*SURFACE).agg(
+    return _areas(counts, frames).groupBy(*SURFACE).agg(
         F.sum(F.expr("n * area")).alias("area"), F.sum(F.expr("hits * area")).alias("near_area")
     )
 
@@ -204,7 +209,7 @@ def label_metrics(
     if labels is not None:
         wanted = labels.where("label > 0").select("case_id", "label").distinct()
         tallies = wanted.join(tallies, ["case_id", "label"], "left").fillna(0, ["gt_voxels", "pred_voxels", "tp"])
-    scored = tallies.withColumn("dsc", dice_column(F.col("tp"), F.col("gt_voxels"), F.col("pred_voxels")))
+    scored = cut_lineage(tallies.withColumn("dsc", dice_column(F.col("tp"), F.col("gt_voxels"), F.col("pred_voxels"))))
     worth = scored.where((F.col("dsc") >= floor) & (F.col("gt_voxels") > 0) & (F.col("pred_voxels") > 0))
     within = surface_within(gt, pred, meta, tolerance, keep=worth)
     nsd = within.groupBy("case_id", "label").agg((F.sum("near_area") / F.sum("area")).alias("nsd"))
@@ -239,7 +244,7 @@ def border_distances(gt: DataFrame, pred: DataFrame, meta: DataFrame, first_radi
     """
     slices = border_slices(both_sides(gt, pred))
     paired = slices.groupBy("case_id", "label").agg(F.count_distinct("side").alias("n")).where("n = 2")
-    flat = slices.join(paired, ["case_id", "label"], "left_semi").join(meta.select("case_id", "sz", "sy", "sx"), "case_id")
+    flat = slices.join(paired, ["case_id", "label"], "left_semi").join(_spacing(meta), "case_id")
     slices = cut_lineage(flat)
     asking = slices.select(*SURFACE, "z", "ys", "xs", "codes")
     settled, radius = [], float(first_radius)
@@ -268,7 +273,7 @@ def border_distances(gt: DataFrame, pred: DataFrame, meta: DataFrame, first_radi
 
 def weighted_distances(gt: DataFrame, pred: DataFrame, meta: DataFrame) -> DataFrame:
     """``(case_id, label, side, d, area)`` with one row per distinct distance."""
-    counted = _areas(border_distances(gt, pred, meta), meta)
+    counted = _areas(border_distances(gt, pred, meta), _spacing(meta))
     return counted.groupBy(*SURFACE, "d2").agg(F.sum(F.expr("n * area")).alias("area")).withColumn("d", F.sqrt("d2"))
 
 

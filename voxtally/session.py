@@ -5,6 +5,10 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+# Rows up to which a case- or label-level table is sent to every task.
+BROADCAST_ROWS = 500_000
 
 
 def build_session(master: str = "local[8]", shuffle_partitions: int | None = None) -> SparkSession:
@@ -36,3 +40,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="voxtally-checkpoint-"))
     return df.checkpoint(eager=True)
+
+
+def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A table of a few numbers per case or label, marked for broadcast if counting shows it is small.
+
+    Beyond the bound it stays unmarked and Spark joins it by shuffle. The table is cut first, so that counting computes it once.
+    """
+    held = cut_lineage(df)
+    return F.broadcast(held) if held.count() <= rows else held

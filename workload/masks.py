@@ -185,7 +185,7 @@ def within_tolerance(spark, d):
 @query("area_lookup", ["areas"], "SELECT case_id, code, round(area, 6) AS area FROM areas")
 def area_lookup(spark, d):
     codes = fx.meta(spark, d).selectExpr("case_id", "explode(sequence(1, 254)) AS code")
-    return rounded(sf._areas(codes, fx.meta(spark, d)))
+    return rounded(sf._areas(codes, sf._spacing(fx.meta(spark, d))))
 
 
 @query("nearest_border_distance", ["cells", "meta"], """SELECT case_id, label, side, code, round(d2, 6) AS d2, count(*) AS n FROM (

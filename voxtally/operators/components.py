@@ -1,12 +1,14 @@
 """Connected components by faces (6-connectivity), within each label.
 
-Voxels become runs along x. Runs are linked inside slabs of consecutive slices, one bounded group per
+Voxels become runs along x. Runs are linked inside slabs of consecutive slices, bounded groups of
 ``(case, label, slab)``, and only slab-level roots that touch across a slab face go into the
 distributed large-star / small-star rounds (Kiveris et al., 2014). Each round ends with a reliable checkpoint.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -15,6 +17,7 @@ from pyspark.sql import functions as F
 from voxtally.session import cut_lineage
 
 SLAB_DEPTH = 32
+SLAB = ["case_id", "label", "slab"]
 # Raster key of a run: z, y, x packed in one long, 21 bits each, so that order of keys is C raster order.
 _RASTER = "shiftleft(cast({z} AS bigint), 42) + shiftleft(cast({y} AS bigint), 21) + {x}"
 
@@ -59,18 +62,41 @@ def _smallest_reachable(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarr
             return root
 
 
-def _link_slab(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values(["z", "y", "x0"], ignore_index=True)
-    z, y = pdf["z"].to_numpy(np.int64), pdf["y"].to_numpy(np.int64)
+def _link_slabs(pdf: pd.DataFrame, slab_depth: int) -> pd.DataFrame:
+    """Link runs of many whole slabs at once. Rows are sorted by slab, z, y, x0; slabs get lines of their own, with an empty
+    line after each slice and an empty slice after each slab, so that nothing touches across them."""
+    key = pdf[SLAB]
+    slab = (key != key.shift()).any(axis=1).cumsum().to_numpy(np.int64)
+    z, y = pdf["z"].to_numpy(np.int64) % slab_depth, pdf["y"].to_numpy(np.int64)
     base = int(pdf["x0"].min())
     start, stop = pdf["x0"].to_numpy(np.int64) - base, pdf["x1"].to_numpy(np.int64) - base
     rows = int(y.max()) - int(y.min()) + 2
-    line = (z - z.min()) * rows + (y - y.min())
+    line = (slab * (slab_depth + 1) + z) * rows + (y - y.min())
     down, across = _touching(start, stop, line, 1), _touching(start, stop, line, rows)
     root = _smallest_reachable(len(pdf), np.concatenate([down[0], across[0]]), np.concatenate([down[1], across[1]]))
     return pdf.assign(root=pdf["run"].to_numpy()[root])
 
 
+def _slab_linker(slab_depth: int):
+    """Stream sorted runs and link every slab as soon as it is complete; a task holds a batch and at most one open slab."""
+
+    def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        open_slab: list[pd.DataFrame] = []
+        for batch in batches:
+            if batch.empty:
+                continue
+            last = (batch[SLAB] == batch[SLAB].iloc[-1]).all(axis=1).to_numpy()
+            if last.all() and (not open_slab or (open_slab[-1][SLAB].iloc[-1] == batch[SLAB].iloc[0]).all()):
+                open_slab.append(batch)
+                continue
+            yield _link_slabs(pd.concat([*open_slab, batch[~last]], ignore_index=True), slab_depth)
+            open_slab = [batch[last]]
+        if open_slab:
+            yield _link_slabs(pd.concat(open_slab, ignore_index=True), slab_depth)
+
+    return link
+
+
 def _star_rounds(edges: DataFrame) -> DataFrame:
     """Map ``(case_id, node)`` to the smallest node of its component, from ``edges(case_id, u, v)``."""
     edges = cut_lineage(edges.where("u <> v").selectExpr("case_id", "greatest(u, v) AS u", "least(u, v) AS v").distinct())
@@ -97,8 +123,9 @@ def label_runs(runs: DataFrame, slab_depth: int = SLAB_DEPTH) -> DataFrame:
         f"{raster_key(x='x0')} AS run",
     )
     case_type = runs.schema["case_id"].dataType.simpleString()
-    linked = keyed.groupBy("case_id", "label", "slab").applyInPandas(
-        _link_slab, f"case_id {case_type}, label int, z int, y int, x0 int, x1 int, slab int, run bigint, root bigint"
+    sorted_runs = keyed.repartition(*SLAB).sortWithinPartitions(*SLAB, "z", "y", "x0")
+    linked = sorted_runs.mapInPandas(
+        _slab_linker(int(slab_depth)), f"case_id {case_type}, label int, z int, y int, x0 int, x1 int, slab int, run bigint, root bigint"
     )
     linked = cut_lineage(linked.drop("run"))
     upper = linked.where(f"z % {int(slab_depth)} = {int(slab_depth) - 1}").selectExpr(

@@ -45,10 +45,10 @@ def normalization_stats(spark, d):
 
 
 @query("exact_percentiles", [], """SELECT s AS share, round(CASE s WHEN 0.005 THEN quantile_cont(l_extendedprice, 0.005) WHEN 0.5 THEN quantile_cont(l_extendedprice, 0.5)
-  ELSE quantile_cont(l_extendedprice, 0.995) END, 4) AS value FROM lineitem, (VALUES (0.005::DOUBLE), (0.5::DOUBLE), (0.995::DOUBLE)) t(s) GROUP BY 1""")
+  ELSE quantile_cont(l_extendedprice, 0.995) END, 6) AS value FROM lineitem, (VALUES (0.005::DOUBLE), (0.5::DOUBLE), (0.995::DOUBLE)) t(s) GROUP BY 1""")
 def exact_percentiles(spark, d):
     out = nm.exact_percentiles(fx.table(spark, d, "lineitem"), "l_extendedprice", [0.005, 0.5, 0.995])
-    return out.select("share", F.round("value", 4).alias("value"))
+    return out.select("share", F.round("value", 6).alias("value"))
 
 
 @query("sample_per_case", ["norm_sample"], "SELECT case_id, v FROM norm_sample")

@@ -51,7 +51,7 @@ PARTS: dict[str, tuple[list[str], str]] = {
         CASE WHEN event_type = 'error' THEN NULL ELSE value * 2 END AS cpu_memory_time_mb_seconds,
         CASE WHEN event_type IN ('click', 'view') THEN (event_id % 101) / 100 END AS dsc,
         CASE WHEN event_type IN ('click', 'view') THEN (event_id % 97) / 96 END AS nsd FROM events"""),
-    "train_steps": ([], """SELECT CAST(day(ts) AS INT) AS epoch, ts, event_id AS step_key, value AS loss, (event_id % 101) / 100 AS crop_dice, event_type FROM events"""),
+    "train_steps": ([], """SELECT CAST(day(ts) AS INT) AS epoch, ts, event_id AS step_key, value AS loss, (event_id % 101) / 103 AS crop_dice, event_type FROM events"""),
     "logits": ([], """SELECT l_orderkey // 750 AS sample, (l_quantity - 25) / 10 AS logit, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS target FROM lineitem"""),
     "class_logits": ([], """SELECT l_orderkey // 750 AS sample, [l_quantity / 20, l_discount * 30, l_tax * 40] AS scores,
         CASE l_returnflag WHEN 'R' THEN 2 WHEN 'A' THEN 1 ELSE CASE WHEN l_linestatus = 'F' THEN 0 ELSE -1 END END AS target FROM lineitem"""),

@@ -262,10 +262,10 @@ def epoch_rollup(spark, d):
     return rounded(rn.epoch_rollup(fx.train_steps(spark, d), ["loss", "crop_dice"]))
 
 
-@query("running_means", ["numbered"], """SELECT epoch, CAST(step AS INT) AS step, round(l, 6) AS loss_running, round(c, 6) AS crop_dice_running FROM (
+@query("running_means", ["numbered"], """SELECT epoch, CAST(step AS INT) AS step, round(l, 9) AS loss_running, round(c, 9) AS crop_dice_running FROM (
   SELECT *, avg(loss) OVER w AS l, avg(crop_dice) OVER w AS c FROM numbered WINDOW w AS (PARTITION BY epoch ORDER BY step)) WHERE step % 10 = 0 OR step = last""")
 def running_means(spark, d):
-    return rounded(rn.running_means(rn.number_steps(fx.train_steps(spark, d)), ["loss", "crop_dice"], 10))
+    return rounded(rn.running_means(rn.number_steps(fx.train_steps(spark, d)), ["loss", "crop_dice"], 10), 9)
 
 
 @query("mean_step_seconds", ["numbered"], """SELECT epoch, CAST(step AS INT) AS step, round(e, 3) AS elapsed_seconds, round(step / greatest(e, 1e-9), 3) AS steps_per_second,

@@ -10,9 +10,8 @@ from voxtally.session import build_session
 from workload.queries import QUERIES
 
 HEADLINE = [
-    "dice", "label_dice", "binary_stats", "labeled_metrics", "connected_components", "component_stats", "select_target_instance",
-    "keep_prompt_component", "merge_prompt_masks", "derive_endpoints", "normalization_stats", "resample_anisotropic", "threshold_cross",
-    "target_audit", "run_summary", "memory_time", "plan_training_crops",
+    "dice", "labeled_metrics", "component_stats", "select_target_instance", "keep_prompt_component", "merge_prompt_masks", "derive_endpoints", "normalization_stats", "resample_anisotropic", "threshold_cross",
+    "run_summary", "memory_time", "plan_training_crops",
 ]
 
 

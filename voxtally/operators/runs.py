@@ -63,9 +63,14 @@ def epoch_rollup(steps: DataFrame, measures: list[str]) -> DataFrame:
     return steps.groupBy("epoch").agg(*[F.avg(m).alias(m) for m in measures], F.count(F.lit(1)).alias("steps"))
 
 
-def number_steps(steps: DataFrame) -> DataFrame:
-    """``step`` from 1 within each epoch, in time order."""
-    return steps.withColumn("step", F.row_number().over(Window.partitionBy("epoch").orderBy("ts", "step_key")))
+def number_steps(steps: DataFrame, bucket_seconds: int = 3600) -> DataFrame:
+    """``step`` from 1 within each epoch, in time order: ranks inside time buckets plus a running count over buckets."""
+    timed = steps.withColumn("bucket", F.floor(F.col("ts").cast("timestamp").cast("double") / bucket_seconds))
+    counts = timed.groupBy("epoch", "bucket").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("epoch").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("epoch", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    inside = F.row_number().over(Window.partitionBy("epoch", "bucket").orderBy("ts", "step_key"))
+    return timed.withColumn("rank", inside).join(offsets, ["epoch", "bucket"]).withColumn("step", (F.col("offset") + F.col("rank")).cast("int")).drop("bucket", "rank", "offset")
 
 
 def running_means(steps: DataFrame, measures: list[str], every: int = 10) -> DataFrame:

@@ -95,11 +95,14 @@ def prompt_channels(lines: DataFrame, prompts: DataFrame, sigma: float = 2.0, mo
     marks = rasterize_line(prompts).groupBy("case_id", "z", "y").agg(F.collect_set("x").alias("xs"))
     ends = clip_to_frame(prompts).select("case_id", *ENDS)
     shows_line, shows_ends = mode not in ("no_prompt", "endpoint_only"), mode not in ("no_prompt", "line_only")
-    gauss = f"transform(sequence(0, size(vals) - 1), x -> {_gauss(sigma)})" if shows_ends else "transform(vals, v -> 0D)"
+    spread = 2.0 * max(float(sigma) ** 2, 1e-6)
+    nearer = "least(ra + (x - ax) * (x - ax), rb + (x - bx) * (x - bx))"
+    gauss = f"transform(sequence(0, size(vals) - 1), x -> exp(-{nearer} / {spread!r}D))" if shows_ends else "transform(vals, v -> 0D)"
     line = "transform(sequence(0, size(vals) - 1), x -> if(coalesce(array_contains(xs, x), false), 1D, 0D))" if shows_line else "transform(vals, v -> 0D)"
     return (
         lines.join(ends, "case_id").join(marks, ["case_id", "z", "y"], "left")
-        .withColumn("line", F.expr(line)).withColumn("gauss", F.expr(gauss)).drop("xs", *ENDS)
+        .withColumns({f"r{e}": F.expr(f"(z - {e}z) * (z - {e}z) + (y - {e}y) * (y - {e}y)") for e in "ab"})
+        .withColumn("line", F.expr(line)).withColumn("gauss", F.expr(gauss)).drop("xs", "ra", "rb", *ENDS)
     )
 
 

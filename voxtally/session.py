@@ -5,10 +5,6 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-# Rows up to which a case- or label-level table is sent to every task.
-BROADCAST_ROWS = 500_000
 
 
 def build_session(master: str = "local[8]", shuffle_partitions: int | None = None) -> SparkSession:
@@ -23,29 +19,38 @@ def build_session(master: str = "local[8]", shuffle_partitions: int | None = Non
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     if shuffle_partitions is not None:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     return builder.getOrCreate()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder the cluster names in ``spark.checkpoint.dir``.
+def shared_folder(spark: SparkSession) -> str:
+    """Folder that the driver and all executors see: the one the cluster names in ``spark.checkpoint.dir``.
 
-    Only an unset folder (tests, a laptop) falls back to a local one.
+    Only a local master (tests, a laptop) may leave it unset; then a temporary folder is made once per application.
+    Set ``spark.cleaner.referenceTracking.cleanCheckpoints`` on a cluster, so that checkpoints go with their tables.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if named:
+        return named.rstrip("/")
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="voxtally-checkpoint-"))
-    return df.checkpoint(eager=True)
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="voxtally-shared-"))
+    return context.getCheckpointDir().rstrip("/")
+
 
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the shared folder."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint(eager=True)
 
-def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """A table of a few numbers per case or label, marked for broadcast if counting shows it is small.
 
-    Beyond the bound it stays unmarked and Spark joins it by shuffle. The table is cut first, so that counting computes it once.
-    """
-    held = cut_lineage(df)
-    return F.broadcast(held) if held.count() <= rows else held
+def small_side(df: DataFrame) -> DataFrame:
+    """A table of a few numbers per case or label, computed once; adaptive execution decides on its measured bytes whether to broadcast it."""
+    return cut_lineage(df)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from voxtally.llm import exact, mixing, packing
+from voxtally.llm import exact, fingerprint, langid, mixing, packing, quality
 
 QUERIES = {
+    "op1_quality_rules": quality.op1_quality_rules,
+    "op2_language_id": langid.op2_language_id,
     "op4_exact_dedup": exact.op4_exact_dedup,
+    "op6_order_minhash": fingerprint.op6_order_minhash,
     "op7_best_fit_packing": packing.op7_best_fit_packing,
     "op8_source_mixing": mixing.op8_source_mixing,
 }

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from voxtally.llm import exact, fingerprint, langid, mixing, packing, quality
+from voxtally.llm import exact, fingerprint, langid, mixing, packing, quality, token_files
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
     "op2_language_id": langid.op2_language_id,
     "op4_exact_dedup": exact.op4_exact_dedup,
+    "op5_range_coded_tokens": token_files.op5_range_coded_tokens,
     "op6_order_minhash": fingerprint.op6_order_minhash,
     "op7_best_fit_packing": packing.op7_best_fit_packing,
     "op8_source_mixing": mixing.op8_source_mixing,

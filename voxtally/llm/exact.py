@@ -23,11 +23,6 @@ def normalised(column: str = "text") -> Column:
     return F.regexp_replace(text_of(column), BLANKS, "")
 
 
-def text_key(bits: int = 64) -> Column:
-    """Non-negative hash of the normalised text; fewer bits make collisions, for tests."""
-    return F.shiftrightunsigned(F.xxhash64("norm"), 65 - min(bits, 63) - 1)
-
-
 def directory(keys: DataFrame, page_keys: int = PAGE_KEYS, key_bits: int = 63) -> DataFrame:
     """Slots (slot, bucket, depth) of the directory over the leading bits of ``h``.
 
@@ -52,13 +47,18 @@ def directory(keys: DataFrame, page_keys: int = PAGE_KEYS, key_bits: int = 63) -
     return slots.select("slot", "bucket", "depth")
 
 
-def index(docs: DataFrame, page_keys: int = PAGE_KEYS, key_bits: int = 63) -> tuple[DataFrame, DataFrame]:
-    """Entries, one per row of the documents, and the index, one row per distinct text with its group and the row that stays.
+def numbered(docs: DataFrame) -> DataFrame:
+    """The columns that the index needs, with a row number."""
+    return docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
 
-    The group's row has the most code points in the original text, then the smallest id (null ids come last), then the first in file order.
+def index(rows: DataFrame, page_keys: int = PAGE_KEYS, key_bits: int = 63) -> tuple[DataFrame, DataFrame]:
+    """Entries, one per row of ``rows`` (rid, doc_id, text), and the index, one row per distinct text with its group and the row that stays.
+
+    The group's row has the most code points in the original text, then the smallest id (null ids come last), then the smallest number.
     """
     bits = min(DIRECTORY_BITS, key_bits)
-    hashed = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.length(text_of()).cast("long").alias("n_chars"), normalised().alias("norm"))
+    hashed = rows.select("rid", "doc_id", F.length(text_of()).cast("long").alias("n_chars"), normalised().alias("norm"))
     hashed = hashed.withColumn("h", F.shiftrightunsigned(F.xxhash64("norm"), 64 - key_bits))
     entries = stored(hashed.select("rid", "doc_id", "n_chars", "h", F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256")), "entries")
     slots = F.broadcast(directory(entries.select("h"), page_keys, key_bits))  # 2^14 rows at most
@@ -67,21 +67,24 @@ def index(docs: DataFrame, page_keys: int = PAGE_KEYS, key_bits: int = 63) -> tu
     chains = chains.select("bucket", "h", "chain", F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256"))
     best = F.min(F.struct((-F.col("n_chars")).alias("less"), F.col("doc_id").isNull().alias("nameless"), "doc_id", "rid"))
     groups = entries.groupBy("h", "text_sha256").agg(F.count("*").alias("group_size"), best.alias("best"))
-    return entries, stored(chains.join(groups, ["h", "text_sha256"]).select("bucket", "h", "chain", "text_sha256", "group_size", F.col("best.doc_id").alias("keep_id"), F.col("best.rid").alias("keep_rid")), "index")
+    found = chains.join(groups, ["h", "text_sha256"]).select("bucket", "h", "chain", "text_sha256", "group_size", F.col("best.doc_id").alias("keep_id"), F.col("best.rid").alias("keep_rid"))
+    return entries, stored(found, "index")
 
 
 def exact_groups(docs: DataFrame, page_keys: int = PAGE_KEYS, key_bits: int = 63) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 of every row. Null texts are empty texts and one group; an empty table gives no rows."""
-    entries, found = index(docs, page_keys, key_bits)
+    entries, found = index(numbered(docs), page_keys, key_bits)
     return entries.join(found, ["h", "text_sha256"]).select("doc_id", "keep_id", "group_size", (F.col("rid") == F.col("keep_rid")).alias("kept"), "text_sha256")
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
-    tagged = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "text")
-    _, found = index(tagged)
-    keyed = tagged.select("row", F.monotonically_increasing_id().alias("rid"))
-    return keyed.join(found.select(F.col("keep_rid").alias("rid")), "rid", "left_semi").select("row.*")
+    """The rows of ``docs`` that stay, with all their columns.
+
+    Rows are numbered in a stored copy, since a second scan may number them otherwise when executors come or go.
+    """
+    tagged = stored(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.monotonically_increasing_id().alias("rid")), "tagged")
+    _, found = index(tagged.select("rid", F.col("row.doc_id").cast("long").alias("doc_id"), F.col("row.text").cast("string").alias("text")))
+    return tagged.join(found.select(F.col("keep_rid").alias("rid")), "rid", "left_semi").select("row.*")
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

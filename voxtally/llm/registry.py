@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from voxtally.llm import exact, fingerprint, langid, mixing, packing, quality, token_files
+from voxtally.llm import exact, fingerprint, langid, mixing, neardup, packing, quality, token_files
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_order_minhash": fingerprint.op6_order_minhash,
     "op7_best_fit_packing": packing.op7_best_fit_packing,
     "op8_source_mixing": mixing.op8_source_mixing,
+    "op9_bag_minhash": neardup.op9_bag_minhash,
 }
 
 ORACLES = {"op4_exact_dedup": exact.OP4_SQL, "op8_source_mixing": mixing.OP8_SQL}

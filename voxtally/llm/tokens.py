@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
 #: Characters of text for which words are made distinct together.
-CHUNK_CHARS = 10_000_000
+CHUNK_CHARS = 8_000_000
 #: Words that are sent to the tokenizer as one line.
 LINE_WORDS = 256
 #: White space that is not plain, or text that is empty.

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from voxtally.llm import exact, fingerprint, langid, mixing, neardup, packing, quality, token_files
+from voxtally.llm import chat, exact, fingerprint, langid, mixing, neardup, packing, quality, token_files
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
     "op2_language_id": langid.op2_language_id,
+    "op3_reply_trees": chat.op3_reply_trees,
     "op4_exact_dedup": exact.op4_exact_dedup,
     "op5_range_coded_tokens": token_files.op5_range_coded_tokens,
     "op6_order_minhash": fingerprint.op6_order_minhash,
@@ -15,4 +16,4 @@ QUERIES = {
     "op9_bag_minhash": neardup.op9_bag_minhash,
 }
 
-ORACLES = {"op4_exact_dedup": exact.OP4_SQL, "op8_source_mixing": mixing.OP8_SQL}
+ORACLES = {"op3_reply_trees": chat.OP3_SQL, "op4_exact_dedup": exact.OP4_SQL, "op8_source_mixing": mixing.OP8_SQL}

@@ -39,6 +39,8 @@ class WordTokenizer:
         self.bytes_of = np.zeros(max([*vocab.values(), *(t["id"] for t in spec["added_tokens"])]) + 1, np.int64)
         for token, number in vocab.items():
             self.bytes_of[number] = len(token.removesuffix(suffix)) if suffix else len(token)
+        for token in spec["added_tokens"]:
+            self.bytes_of[token["id"]] = len(token["content"].encode())
         quoted = "|".join(t.replace("|", r"\|") for t in special)
         self.odd = "|".join([ODD, *([quoted] if quoted else []), *([] if self.spaced else [BEYOND_LATIN])])
 

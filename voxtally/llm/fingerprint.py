@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from voxtally.llm.shared import documents, id_key, stored, text_of
+from voxtally.llm.shared import NULL_ID, documents, id_key, stored, text_of
 
 #: Words are runs of other characters than white space; longer runs are cut, so that text without blanks has words too.
 WORD = r"[^\s]{1,12}"
@@ -94,15 +94,16 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     A null text is an empty one; a null id counts as the smallest. Rows that repeat an id all get their own row; the text that follows an id
     is the smallest one of the next id. A single document is its own next one. An empty table gives no rows.
     """
-    base = docs.select("doc_id", id_key().alias("k"), text_of().alias("text"))
+    base = docs.select(id_key().alias("k"), text_of().alias("text"))
     chain = stored(neighbours(base.select("k", F.length("text").alias("n"))), "neighbours")
+    # both sides below read the same columns, so that signatures are made, and texts dealt out, once
     signed = signature(base, "text", "sig").repartition("k")
     heads = signed.join(chain, "k").select(F.col("prev").alias("k"), F.substring("text", F.lit(1), F.floor(F.col("prev_n") / 3).cast("int")).alias("head"), F.col("sig").alias("next_sig"))
     heads = heads.groupBy("k").agg(F.min(F.struct("head", "next_sig")).alias("next"))
     n = F.length("text")
     cut = F.floor(n / 3).cast("int")
     joined = signed.join(heads, "k").select(
-        "doc_id", n.cast("long").alias("n_chars"), "sig", F.col("next.next_sig").alias("next_sig"),
+        F.when(F.col("k") != F.lit(NULL_ID), F.col("k")).alias("doc_id"), n.cast("long").alias("n_chars"), "sig", F.col("next.next_sig").alias("next_sig"),
         F.concat(F.substring("text", F.lit(1), n - cut), F.substring("next.head", F.lit(1), cut)).alias("edited"),
     )
     both = signature(joined, "edited", "edited_sig")

@@ -119,6 +119,8 @@ def encode_blocks(ids: np.ndarray, block: int) -> tuple[list[bytes], list[int]]:
     """Payload and crc32 of the ids of each block of ``block`` ids (the last may be shorter)."""
     if not len(ids):
         return [], []
+    if ids.min() < 0 or ids.max() >= _NONE:
+        raise ValueError(f"token ids are from 0 to {_NONE - 1}")
     many = -(-len(ids) // block)
     lengths = np.full(many, block, np.int64)
     lengths[-1] = len(ids) - block * (many - 1)
@@ -206,7 +208,7 @@ def decode_blocks(payloads: list[bytes], lengths: list[int], crcs: list[int]) ->
         stream[end - size : end - 8] = np.frombuffer(payloads[k], "<u2")
     many, own = len(order), lengths[order]
     model = _Model(many)
-    pos = ends - sizes
+    pos, last = ends - sizes, ends - 7  # only a damaged block reads on
     # three and a half words are read ahead
     x = (stream[pos] << _U(40)) | (stream[pos + 1] << _U(24)) | (stream[pos + 2] << _U(8)) | (stream[pos + 3] >> _U(8))
     rng = np.full(many, 1 << _TOP, _U)
@@ -241,9 +243,9 @@ def decode_blocks(payloads: list[bytes], lengths: list[int], crcs: list[int]) ->
         ahead = ((stream[at + 3] & _U(0xFF)) << _U(48)) | (stream[at + 4] << _U(32)) | (stream[at + 5] << _U(16)) | stream[at + 6]
         x_[:] = (x_ << shift) | (ahead >> _U(8)) >> (_U(48) - shift)
         rng_ <<= shift
-        at += due
+        np.minimum(at + due, last[:n], out=at)
         grid[t, :n] = ids
-        of_hit = np.where(plain, of_class, classes(ids)[0])
+        of_hit = np.where(plain, of_class, np.minimum(classes(ids)[0], _CLASSES - 1))
         model.learn(ids, of_hit, n)
     starts = np.cumsum(lengths) - lengths
     out = np.empty(int(lengths.sum()), np.int64)

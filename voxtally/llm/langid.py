@@ -26,8 +26,9 @@ UNKNOWN = "und"
 #: A text as unlike all prototypes as this has no language that was learned.
 LEAST_COSINE = 0.03
 #: Characters and texts whose counts are held at once.
-BATCH_CHARS, BATCH_TEXTS = 1_500_000, 512
+BATCH_CHARS, BATCH_TEXTS = 800_000, 256
 _GRID = 1 << 24
+_SLICE = 4_096
 
 
 class Bundler:
@@ -77,9 +78,9 @@ class Bundler:
             return out
         grams, code = compact(code, letters**3)
         a, b, c = grams // letters**2, grams // letters % letters, grams % letters
-        for k in range(0, len(grams), 8_192):  # in slices, however many distinct trigrams there are
-            own = (code >= k) & (code < k + 8_192) if len(grams) > 8_192 else slice(None)
-            part = slice(k, k + 8_192)
+        for k in range(0, len(grams), _SLICE):  # in slices, however many distinct trigrams there are
+            own = (code >= k) & (code < k + _SLICE) if len(grams) > _SLICE else slice(None)
+            part = slice(k, k + _SLICE)
             width = len(grams[part])
             counts = np.bincount(text[own] * width + code[own] - k, minlength=len(texts) * width).reshape(len(texts), width)
             vectors = self.places[0][a[part]] * self.places[1][b[part]] * self.places[2][c[part]]
@@ -106,12 +107,11 @@ def bundler(dimensions: int) -> Bundler:
 
 def batches_of(texts: pa.Array):
     """(first row, texts) in batches of bounded size; lower case, null as empty."""
-    texts = pc.utf8_lower(pc.fill_null(texts, ""))
-    size = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+    size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)) if len(texts) else np.zeros(0)
     at = 0
     while at < len(texts):
         end = max(at + 1, min(at + BATCH_TEXTS, int(np.searchsorted(size, (size[at - 1] if at else 0) + BATCH_CHARS, "right"))))
-        yield at, texts.slice(at, end - at).to_pylist()
+        yield at, pc.utf8_lower(pc.fill_null(texts.slice(at, end - at), "")).to_pylist()
         at = end
 
 
@@ -156,15 +156,13 @@ def prototypes(docs: DataFrame, dimensions: int = DIMENSIONS, per_lang: int = SA
 def predicted(docs: DataFrame, langs: list[str], vectors: np.ndarray):
     """Column of (lang_pred, score) of the column ``text``: und with 0 where there is no letter or nothing was learned; ties take the first language."""
     dimensions = vectors.shape[1]
-    model = docs.sparkSession.sparkContext.broadcast((np.array([*langs, UNKNOWN], dtype=object), vectors.T.astype(np.float32)))
-
-    @F.pandas_udf("lang_pred string, score double")
-    def predict(texts):
-        import pandas as pd
+    model = docs.sparkSession.sparkContext.broadcast(([*langs, UNKNOWN], vectors.T.astype(np.float32)))
 
+    @F.arrow_udf("lang_pred string, score double")
+    def predict(texts: pa.Array) -> pa.Array:
         names, columns = model.value
         best, score = np.full(len(texts), len(names) - 1), np.zeros(len(texts))
-        for at, part in batches_of(pa.Array.from_pandas(texts, type=pa.large_string())):
+        for at, part in batches_of(texts):
             bundles = bundler(dimensions).bundle(part)
             some = bundles.any(axis=1)
             if len(names) > 1 and some.any():
@@ -172,7 +170,7 @@ def predicted(docs: DataFrame, langs: list[str], vectors: np.ndarray):
                 rows = np.arange(at, at + len(part))[some]
                 best[rows] = cosine[some].argmax(axis=1)
                 score[rows] = np.clip(cosine[some].max(axis=1), 0, 1)
-        return pd.DataFrame({"lang_pred": names[best], "score": score})
+        return pa.StructArray.from_arrays([pa.array(names, pa.string()).take(pa.array(best)), pa.array(score)], names=["lang_pred", "score"])
 
     return predict(F.col("text").cast("string"))
 

@@ -27,7 +27,7 @@ SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 20, 4
 #: Characters of text that are held as arrays at once.
-CHUNK_CHARS = 3_000_000
+CHUNK_CHARS = 2_000_000
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _SALTS = np.array([0x3C6EF372FE94F82A, 0xDAA66D2C7DDEF743], np.uint64)
 _SIGNED = "rid long, doc_id long, text string, n_shingles long, key_a long, key_b long, bands array<long>"

@@ -19,6 +19,8 @@ from tokenizers import Tokenizer
 CHUNK_CHARS = 8_000_000
 #: Words that are sent to the tokenizer as one line.
 LINE_WORDS = 256
+#: Lines that are encoded before their ids are taken out.
+SLAB_LINES = 64
 #: White space that is not plain, or text that is empty.
 ODD = r"^\z|^[ \n]|[ \n]\z|[ \n][ \n]|[\x00-\x09\x0b-\x1f\x7f-\xa0\x{1680}\x{180e}\x{2000}-\x{200f}\x{2028}-\x{202f}\x{205f}-\x{206f}\x{3000}\x{feff}]"
 #: Beyond these, normal forms and lower case may change lengths.
@@ -57,6 +59,7 @@ class WordTokenizer:
             ids.append(part)
             lengths.append(n)
             at = end
+            pa.default_memory_pool().release_unused()
         offsets = np.concatenate([[0], np.cumsum(np.concatenate(lengths))]) if lengths else np.zeros(1, np.int64)
         return np.concatenate(ids) if ids else np.zeros(0, np.int32), offsets.astype(np.int64)
 
@@ -110,8 +113,10 @@ class WordTokenizer:
         else:
             lines = [" ".join(words[k : k + LINE_WORDS]) for k in range(0, len(words), LINE_WORDS)]
             size = pc.binary_length(pc.utf8_lower(pc.ascii_trim(distinct, "\n"))).to_numpy(zero_copy_only=False)
-        encoded = self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)
-        ids = np.concatenate([np.asarray(e.ids, np.int32) for e in encoded]) if encoded else np.zeros(0, np.int32)
+        parts = [np.zeros(0, np.int32)]
+        for k in range(0, len(lines), SLAB_LINES):  # an encoding holds much more than its ids
+            parts += [np.asarray(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(lines[k : k + SLAB_LINES], add_special_tokens=False)]
+        ids = np.concatenate(parts)
         seen, want = np.cumsum(self.bytes_of[ids]), np.cumsum(size)
         cut = np.searchsorted(seen, want)
         if len(want) and (seen[-1] != want[-1] or (seen[np.minimum(cut, len(seen) - 1)] != want).any()):

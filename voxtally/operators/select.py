@@ -138,9 +138,9 @@ def compose_organ_labels(aux: DataFrame, tumour_class: int = 1) -> DataFrame:
 
 def refinement_boxes(
     diff: DataFrame, coarse: DataFrame, meta: DataFrame, size_zyx: tuple[int, int, int],
-    margin_zyx: tuple[int, int, int] = (10, 10, 10), max_boxes: int = 4,
+    margin_zyx: tuple[int, int, int] = (10, 10, 10), max_boxes: int | None = None,
 ) -> DataFrame:
-    """Distinct crop windows around components of a difference mask, by coarse voxels inside, best ``max_boxes`` per case.
+    """Distinct crop windows around components of a difference mask, best by coarse voxels inside; all of a case unless ``max_boxes`` is given.
 
     Ties keep component order. Coarse lines meet only the windows of their own case.
     """
@@ -158,7 +158,8 @@ def refinement_boxes(
     ).groupBy("case_id", *cols).agg(F.sum(F.expr("cast(least(x1, w_x1 - 1) - greatest(x0, w_x0) + 1 AS bigint)")).alias("score"))
     scored = boxes.join(inside, ["case_id", *cols], "left").fillna(0, ["score"])
     order = Window.partitionBy("case_id").orderBy(F.desc("score"), "first_component")
-    return scored.withColumn("box", F.row_number().over(order)).where(F.col("box") <= int(max_boxes)).drop("first_component")
+    ranked = scored.withColumn("box", F.row_number().over(order)).drop("first_component")
+    return ranked if max_boxes is None else ranked.where(F.col("box") <= int(max_boxes))
 
 
 def border_load(crop_mask: DataFrame, frames: DataFrame, margin: int = 0) -> DataFrame:

@@ -34,14 +34,14 @@ def scan_prompts(spark, d):
 
 PARTS["norm_sample"] = (["scan_voxels"], f"""SELECT case_id, v FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY md5(case_id || '|' || z || '|' || y || '|' || x || '|13'), z, y, x) AS rn
   FROM scan_voxels WHERE v <> 0) WHERE rn <= 40""")
-PARTS["norm_stats"] = (["norm_sample"], """SELECT lo AS clip_low, hi AS clip_high, avg(c) AS mean, stddev_pop(c) AS std, count(DISTINCT case_id) AS source_case_count, count(*) AS source_voxel_count FROM (
-  SELECT *, greatest(lo, least(v, hi)) AS c FROM norm_sample, (SELECT quantile_cont(v, 0.005) AS lo, quantile_cont(v, 0.995) AS hi FROM norm_sample)) GROUP BY 1, 2""")
+PARTS["norm_stats"] = (["scan_voxels"], """SELECT lo AS clip_low, hi AS clip_high, avg(c) AS mean, stddev_pop(c) AS std, count(DISTINCT case_id) AS source_case_count, count(*) AS source_voxel_count FROM (
+  SELECT *, greatest(lo, least(v, hi)) AS c FROM scan_voxels, (SELECT quantile_cont(v, 0.005) AS lo, quantile_cont(v, 0.995) AS hi FROM scan_voxels WHERE v <> 0) WHERE v <> 0) GROUP BY 1, 2""")
 
 
 @query("normalization_stats", ["norm_stats"], """SELECT round(clip_low, 6) AS clip_low, round(clip_high, 6) AS clip_high, round(mean, 6) AS mean, round(std, 6) AS std, source_case_count,
   source_voxel_count, 'dataset_stats' AS mode FROM norm_stats""")
 def normalization_stats(spark, d):
-    return rounded(nm.normalization_stats(fx.scanlines(spark, d), max_per_case=40))
+    return rounded(nm.normalization_stats(fx.scanlines(spark, d)))
 
 
 @query("exact_percentiles", [], """SELECT s AS share, round(CASE s WHEN 0.005 THEN quantile_cont(l_extendedprice, 0.005) WHEN 0.5 THEN quantile_cont(l_extendedprice, 0.5)
@@ -59,7 +59,7 @@ def sample_per_case(spark, d):
 @query("normalize_dataset_stats", ["scan_voxels", "norm_stats"], "SELECT case_id, z, y, x, round((greatest(clip_low, least(v, clip_high)) - mean) / std, 6) AS v FROM scan_voxels, norm_stats")
 def normalize_dataset_stats(spark, d):
     lines = fx.scanlines(spark, d)
-    return voxels(nm.normalize_by_mode(lines, "dataset_stats", nm.normalization_stats(lines, max_per_case=40)))
+    return voxels(nm.normalize_by_mode(lines, "dataset_stats", nm.normalization_stats(lines)))
 
 
 @query("normalize_fixed_hu", ["scan_voxels"], "SELECT case_id, z, y, x, round(greatest(-1000, least(v * 5000, 1000)) / 500, 6) AS v FROM scan_voxels")

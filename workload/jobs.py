@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -16,6 +15,7 @@ from voxtally.plans import autozoom as az
 from voxtally.plans import evaluate as ev
 from voxtally.sources import cache as ca
 from voxtally.sources import files as fl
+from voxtally.session import shared_folder
 from voxtally.streaming import status as st
 from workload import fixtures as fx
 from workload.dense import scan_prompts
@@ -136,7 +136,7 @@ def case_log_roundtrip(spark, d):
 
 
 def _logged(spark, d):
-    folder = os.path.join(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="voxtally-"), f"log-{os.urandom(6).hex()}")
+    folder = f"{shared_folder(spark)}/log-{os.urandom(6).hex()}"
     log = fx.case_log(spark, d).withColumn("case_id", F.col("case_id").cast("string"))
     fl.write_case_log(spark.range(1).select(F.lit(0.35).alias("threshold")), log, rn.run_summary(log), folder)
     return fl.scan_case_log(spark, folder), folder
@@ -162,21 +162,21 @@ def bright_near_prompt(channels: np.ndarray) -> np.ndarray:
 @query("score_crops")
 def score_crops(spark, d):
     lines, prompts = fx.scanlines(spark, d), scan_prompts(spark, d)
-    channels = sc.input_channels(lines, prompts, "dataset_stats", nm.normalization_stats(lines, max_per_case=40))
+    channels = sc.input_channels(lines, prompts, "dataset_stats", nm.normalization_stats(lines))
     return rounded(sc.score_crops(channels, bright_near_prompt).select("case_id", "z", "y", F.posexplode("vals").alias("x", "prob")))
 
 
-_ZOOM = az.Settings(crop_zyx=(2, 3, 3), threshold=0.5, max_passes=3, growth_zyx=(1.5, 1.25, 1.25), base_abs=1, base_min=0, ref_patch_zyx=(2, 3, 3), refine=True, refine_margin_zyx=(0, 0, 0), refine_boxes=2)
+_ZOOM = az.Settings(crop_zyx=(2, 3, 3), threshold=0.5, zoom_mode="fixed", growth_zyx=(1.5, 1.25, 1.25), base_abs=1, base_min=0, ref_patch_zyx=(2, 3, 3), refine=True, refine_margin_zyx=(0, 0, 0))
 
 
 @query("autozoom")
 def autozoom(spark, d):
     lines = fx.scanlines(spark, d)
-    return az.autozoom(lines, scan_prompts(spark, d), bright_near_prompt, nm.normalization_stats(lines, max_per_case=40), _ZOOM)[0]
+    return az.autozoom(lines, scan_prompts(spark, d), bright_near_prompt, nm.normalization_stats(lines), _ZOOM)[0]
 
 
 @query("autozoom_trace")
 def autozoom_trace(spark, d):
     lines = fx.scanlines(spark, d)
     settings = az.Settings(crop_zyx=(2, 3, 3), threshold=0.5, max_passes=2, ref_patch_zyx=(2, 3, 3), base_abs=1, base_min=0)
-    return rounded(az.autozoom(lines, scan_prompts(spark, d), bright_near_prompt, nm.normalization_stats(lines, max_per_case=40), settings)[1])
+    return rounded(az.autozoom(lines, scan_prompts(spark, d), bright_near_prompt, nm.normalization_stats(lines), settings)[1])

@@ -77,7 +77,7 @@ def prompt_region_wrong(spark, d):
   FROM case_prompts, range(0, 24) a(z), range(0, 50) b(y), range(0, 50) c(x)) v LEFT JOIN line2 l USING (case_id, z, y, x) GROUP BY 1, 2, 3""")
 def prompt_channels(spark, d):
     prompts = fx.case_prompts(spark, d)
-    lines = prompts.selectExpr("case_id", "nx", "ny", "explode(sequence(0, nz - 1)) AS z").repartition(16, "case_id", "z").selectExpr(
+    lines = prompts.selectExpr("case_id", "nx", "ny", "explode(sequence(0, nz - 1)) AS z").repartition("case_id", "z").selectExpr(
         "case_id", "z", "explode(sequence(0, ny - 1)) AS y", "array_repeat(0D, nx) AS vals")
     both = pr.prompt_channels(lines, prompts)
     return rounded(both.selectExpr(
@@ -352,7 +352,7 @@ components_part("diff_comp", "diff_mask", binary=True)
     CAST(greatest(0, least(round_even((min(x) + max(x) + 1) / 2, 0) - 12, 50 - 24)) AS INT) AS w_x0 FROM diff_comp GROUP BY 1, 2) GROUP BY ALL)
   SELECT case_id, w_z0, w_z0 + 10 AS w_z1, w_y0, w_y0 + 20 AS w_y1, w_x0, w_x0 + 24 AS w_x1, score, CAST(box AS INT) AS box FROM (
     SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY score DESC, first) AS box FROM (SELECT b.*, count(p.z) AS score FROM b LEFT JOIN pred p ON p.case_id = b.case_id
-      AND z BETWEEN w_z0 AND w_z0 + 9 AND y BETWEEN w_y0 AND w_y0 + 19 AND x BETWEEN w_x0 AND w_x0 + 23 GROUP BY ALL)) WHERE box <= 4""")
+      AND z BETWEEN w_z0 AND w_z0 + 9 AND y BETWEEN w_y0 AND w_y0 + 19 AND x BETWEEN w_x0 AND w_x0 + 23 GROUP BY ALL))""")
 def refinement_boxes(spark, d):
     from voxtally.operators.overlap import mask_symmetric_difference
 

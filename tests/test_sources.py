@@ -64,7 +64,7 @@ def test_archives_in_and_predictions_out(spark, tmp_path):
             assert np.array_equal(data["prediction"], mask) and data["spacing"].tolist() == [0.5, 0.75, 2.0]
     back = vo.scan_nifti(spark, str(out), "mask")
     heads = {r.case_id: r for r in back.where("kind = 'meta'").collect()}
-    assert heads["p"].spacing_xyz == [0.5, 0.75, 2.0] and heads["p"].origin == [1.0, 2.0, 3.0] and heads["p"].direction == [0.5, 0, 0, 0, 0.75, 0, 0, 0, 2.0]
+    assert heads["p"].spacing_xyz == [0.5, 0.75, 2.0] and heads["p"].origin == [1.0, 2.0, 3.0] and heads["p"].direction == [1, 0, 0, 0, 1, 0, 0, 0, 1]
     columns = ["case_id", "label", "z", "y", "x0", "x1"]
     assert back.where("kind = 'mask'").select(columns).exceptAll(runs.select(columns)).isEmpty()
 

@@ -146,12 +146,23 @@ def _pair_blocks(y, x, v, u, step_y: float, step_x: float) -> Iterator[tuple[int
 def _any_within(
     ys: pd.Series, xs: pd.Series, ty: pd.Series, tx: pd.Series, room: pd.Series, sy: pd.Series, sx: pd.Series
 ) -> pd.Series:
-    """Whether each cell of a slice has a target whose in-plane squared distance is within that target's ``room``."""
+    """Whether each cell of a slice has a target whose in-plane squared distance is within that target's ``room``.
+
+    Targets of one room are marked in a plane around the cells; each cell then looks at the offsets of that room's disk, so the work is
+    linear in cells.
+    """
     out = []
     for y, x, v, u, r, step_y, step_x in zip(ys, xs, ty, tx, room, sy, sx):
         hit = np.zeros(len(y), dtype=bool)
-        for i, gap in _pair_blocks(y, x, v, u, step_y, step_x):
-            hit[i : i + len(gap)] = (gap <= r).any(axis=1)
+        y, x, v, u, r = (np.asarray(c) for c in (y, x, v, u, r))
+        for reach in np.unique(r[r >= 0]):
+            dy, dx = int(np.sqrt(reach) / step_y) + 1, int(np.sqrt(reach) / step_x) + 1
+            near = (r == reach) & (v >= y.min() - dy) & (v <= y.max() + dy) & (u >= x.min() - dx) & (u <= x.max() + dx)
+            plane = np.zeros((int(y.max() - y.min()) + 2 * dy + 1, int(x.max() - x.min()) + 2 * dx + 1), dtype=bool)
+            plane[v[near] - y.min() + dy, u[near] - x.min() + dx] = True
+            for j, i in product(range(-dy, dy + 1), range(-dx, dx + 1)):
+                if (j * step_y) ** 2 + (i * step_x) ** 2 <= reach:
+                    hit |= plane[y - y.min() + dy + j, x - x.min() + dx + i]
         out.append(hit)
     return pd.Series(out)
 
@@ -160,9 +171,11 @@ def surface_within(gt: DataFrame, pred: DataFrame, meta: DataFrame, tolerance: f
     """Border area per ``(case_id, label, side)`` in total and within ``tolerance`` mm of the other side.
 
     Every slice is offered to the slices of the other side within tolerance along z, a fixed few, and meets them in one group.
-    ``keep(case_id, label)`` limits the work to labels that need it.
+    ``keep(case_id, label)`` limits the work to labels that need it, before any border is built.
     """
     frames = _spacing(meta, keep)
+    if keep is not None:
+        gt, pred = (m.join(keep.select("case_id", "label"), ["case_id", "label"], "left_semi") for m in (gt, pred))
     slices = border_slices(both_sides(gt, pred)).join(frames, ["case_id"] if keep is None else ["case_id", "label"])
     tol = f"{float(tolerance)}D"
     asking = slices.selectExpr(*SURFACE, "z", "sy", "sx", "ys", "xs", "codes", "cast(null AS array<double>) AS room")
@@ -204,18 +217,22 @@ def surface_overlap(gt: DataFrame, pred: DataFrame, meta: DataFrame, tolerance:
 def label_metrics(
     gt: DataFrame, pred: DataFrame, meta: DataFrame, tolerance: float = 2.0, floor: float = 0.2, labels: DataFrame | None = None
 ) -> DataFrame:
-    """Dice and surface Dice per label. Below ``floor`` Dice the surface score is 0 and its work is skipped."""
+    """Dice and surface Dice per label. Below ``floor`` Dice the surface score is 0 and its work is skipped.
+
+    A label above it whose case has no row in ``meta`` gets a null surface score.
+    """
     tallies = label_tallies(gt, pred)
     if labels is not None:
         wanted = labels.where("label > 0").select("case_id", "label").distinct()
         tallies = wanted.join(tallies, ["case_id", "label"], "left").fillna(0, ["gt_voxels", "pred_voxels", "tp"])
     scored = cut_lineage(tallies.withColumn("dsc", dice_column(F.col("tp"), F.col("gt_voxels"), F.col("pred_voxels"))))
-    worth = scored.where((F.col("dsc") >= floor) & (F.col("gt_voxels") > 0) & (F.col("pred_voxels") > 0))
+    scored = scored.withColumn("worth", F.expr(f"dsc >= {float(floor)}D AND gt_voxels > 0 AND pred_voxels > 0"))
+    worth = scored.where("worth")
     within = surface_within(gt, pred, meta, tolerance, keep=worth)
     nsd = within.groupBy("case_id", "label").agg((F.sum("near_area") / F.sum("area")).alias("nsd"))
     return scored.join(nsd, ["case_id", "label"], "left").select(
         "case_id", "label", "dsc",
-        F.when(F.expr("gt_voxels + pred_voxels = 0"), F.lit(1.0)).otherwise(F.coalesce("nsd", F.lit(0.0))).alias("nsd"),
+        F.when(F.expr("gt_voxels + pred_voxels = 0"), F.lit(1.0)).when(F.col("worth"), F.col("nsd")).otherwise(F.lit(0.0)).alias("nsd"),
         "gt_voxels", "pred_voxels",
     )
 

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from voxtally.operators.normalize import exact_percentiles
+from voxtally.session import cut_lineage
+
 
 def split_records(records: DataFrame, split: str) -> DataFrame:
     return records.where(F.col("split") == split)
@@ -115,13 +118,12 @@ def lesion_label(labels: DataFrame, file_name: Column, lesion: int = 28) -> Data
 
 
 def summarize(df: DataFrame, column: str) -> DataFrame:
-    """Count, min, max, mean and exact median of a column; zeros when empty. Values are counted before they are ordered."""
-    counted = df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    return counted.agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("count"), F.coalesce(F.min("v"), F.lit(0.0)).alias("min"),
-        F.coalesce(F.max("v"), F.lit(0.0)).alias("max"), F.coalesce(F.sum(F.expr("v * n")) / F.sum("n"), F.lit(0.0)).alias("mean"),
-        F.coalesce(F.expr("percentile(v, 0.5, n)"), F.lit(0.0)).alias("median"),
-    ).select(F.lit(column).alias("measure"), "*")
+    """Count, min, max, mean and exact median of a column; zeros when empty. Only values in a narrow bracket are ordered."""
+    values = df.where(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("v"))
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    facts = values.agg(F.count("v").alias("count"), zero(F.min("v")).alias("min"), zero(F.max("v")).alias("max"), zero(F.avg("v")).alias("mean"))
+    median = exact_percentiles(values, "v", [0.5]).agg(zero(F.max("value")).alias("median"))
+    return facts.crossJoin(F.broadcast(median)).select(F.lit(column).alias("measure"), "*")  # one row each
 
 
 AUDIT_MEASURES = ["all_positive_voxels", "selected_target_voxels", "selected_fraction_of_all_positive", "component_count"]
@@ -177,7 +179,7 @@ def audit_counts(rows: DataFrame) -> DataFrame:
 
 def audit_measures(rows: DataFrame) -> DataFrame:
     """The four summaries over cases with a mask."""
-    present = rows.where("selection_mode <> 'missing_mask'")
+    present = cut_lineage(rows.where("selection_mode <> 'missing_mask'").select(*AUDIT_MEASURES))
     out = summarize(present, AUDIT_MEASURES[0])
     for measure in AUDIT_MEASURES[1:]:
         out = out.unionByName(summarize(present, measure))

@@ -154,9 +154,12 @@ def _component_ids(labelled: DataFrame) -> DataFrame:
 
 
 def component_runs(mask: DataFrame, slab_depth: int = SLAB_DEPTH) -> DataFrame:
-    """Runs with ``component_id`` counted from 1 within (case, label) in raster order of first voxels."""
+    """Runs with ``component_id`` counted from 1 within (case, label) in raster order of first voxels.
+
+    The table is cut here: its users read it more than once.
+    """
     labelled = label_runs(mask_runs(mask), slab_depth)
-    return labelled.join(_component_ids(labelled), ["case_id", "label", "root"]).drop("root")
+    return cut_lineage(labelled.join(_component_ids(labelled), ["case_id", "label", "root"]).drop("root"))
 
 
 def binary_component_runs(mask: DataFrame, slab_depth: int = SLAB_DEPTH) -> DataFrame:

@@ -166,7 +166,7 @@ def score_crops(spark, d):
     return rounded(sc.score_crops(channels, bright_near_prompt).select("case_id", "z", "y", F.posexplode("vals").alias("x", "prob")))
 
 
-_ZOOM = az.Settings(crop_zyx=(2, 3, 3), threshold=0.5, zoom_mode="fixed", growth_zyx=(1.5, 1.25, 1.25), base_abs=1, base_min=0, ref_patch_zyx=(2, 3, 3), refine=True, refine_margin_zyx=(0, 0, 0))
+_ZOOM = az.Settings(crop_zyx=(2, 3, 3), threshold=0.5, max_passes=3, growth_zyx=(1.5, 1.25, 1.25), base_abs=1, base_min=0, ref_patch_zyx=(2, 3, 3), refine=True, refine_margin_zyx=(0, 0, 0))
 
 
 @query("autozoom")

@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 from voxtally.operators import normalize as nm
 from voxtally.operators import runs as rn
 from voxtally.operators import scoring as sc
+from voxtally.operators.components import mask_runs
 from voxtally.plans import assemble as asm
 from voxtally.plans import autozoom as az
 from voxtally.plans import evaluate as ev
 from voxtally.sources import cache as ca
 from voxtally.sources import files as fl
-from voxtally.session import shared_folder
+from voxtally.sources import volumes as vo
+from voxtally.session import cut_lineage, shared_folder
 from voxtally.streaming import status as st
 from workload import fixtures as fx
 from workload.dense import scan_prompts
@@ -151,6 +153,24 @@ def stream_run_status(spark, d):
     return spark.table(name)
 
 
+# ---- volumes in files --------------------------------------------------------------------------------------------------------
+
+@query("nifti_roundtrip", ["gt", "meta"], """SELECT case_id, label, voxels, at_z, at_y, at_x, sz, sy, sx FROM (SELECT case_id, label, count(*) AS voxels, sum(z)::BIGINT AS at_z, sum(y)::BIGINT AS at_y, sum(x)::BIGINT AS at_x
+  FROM gt GROUP BY 1, 2) JOIN meta USING (case_id)""")
+def nifti_roundtrip(spark, d):
+    """Label files of all cases, written to the shared folder and scanned back."""
+    folder = f"{shared_folder(spark).removeprefix('file://').removeprefix('file:')}/labels-{os.urandom(6).hex()}"
+    os.makedirs(folder)
+    meta = fx.meta(spark, d).withColumns({"direction": F.lit(None).cast("array<double>"), "origin": F.lit(None).cast("array<double>")})
+    vo.export_predictions(mask_runs(fx.gt(spark, d)), meta, folder, "nii").count()
+    rows = cut_lineage(vo.scan_nifti(spark, folder, "mask"))
+    n = F.expr("cast(x1 - x0 + 1 AS bigint)")
+    sums = rows.where("kind = 'mask'").groupBy(F.col("case_id").cast("long").alias("case_id"), "label").agg(
+        F.sum(n).alias("voxels"), F.sum(n * F.col("z")).alias("at_z"), F.sum(n * F.col("y")).alias("at_y"), F.sum(F.expr("cast((x0 + x1) * (x1 - x0 + 1) div 2 AS bigint)")).alias("at_x"))
+    heads = rows.where("kind = 'meta'").select(F.col("case_id").cast("long").alias("case_id"), *[F.col("spacing_xyz")[k].cast("double").alias(c) for k, c in enumerate(("sx", "sy", "sz"))])
+    return sums.join(heads, "case_id")
+
+
 # ---- scoring ----------------------------------------------------------------------------------------------------------------
 
 def bright_near_prompt(channels: np.ndarray) -> np.ndarray:

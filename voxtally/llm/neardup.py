@@ -30,7 +30,7 @@ BANDS, ROWS = 20, 4
 #: Of 80 places, a pair of similarity 0.8 agrees in 64 on average, with a deviation of 3.6; fewer than this have a chance below one in a million.
 LEAST_AGREEING = 44
 #: Members of a bucket, on average, in a block.
-BLOCK_ROWS = 128
+BLOCK_ROWS = 256
 #: Characters of text that are held as arrays at once.
 CHUNK_CHARS = 2_000_000
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxtally.functions.geometry import ENDS, clip_to_frame, effective_endpoints, shift_to_wrong_place
@@ -15,6 +15,31 @@ PROMPT_MODES = ("full", "no_prompt", "line_only", "endpoint_only", "wrong_prompt
 REGION_LEVEL = 0.25
 
 
+def _prompt_key() -> Column:
+    return F.concat(F.col("prompt").cast("bigint").cast("string"), F.lit("#"), F.col("case_id").cast("string"))
+
+
+def key_by_prompt(prompts: DataFrame) -> DataFrame:
+    """Prompts whose ``case_id`` names the prompt as well, ``<prompt>#<case_id>``, so that operators with one prompt per ``case_id`` take every prompt.
+
+    ``prompt`` is a whole number; ``(case_id, prompt)`` is unique.
+    """
+    return prompts.withColumn("case_id", _prompt_key())
+
+
+def copy_to_prompts(rows: DataFrame, prompts: DataFrame) -> DataFrame:
+    """Rows of each case once for every prompt of it, under the key of :func:`key_by_prompt`. ``prompts`` are those without that key."""
+    keys = prompts.select("case_id", _prompt_key().alias("_key"))
+    return rows.join(keys, "case_id").withColumn("case_id", F.col("_key")).drop("_key")
+
+
+def split_prompt_key(rows: DataFrame, prompts: DataFrame) -> DataFrame:
+    """``case_id`` and ``prompt`` back from the key, in the types of ``prompts``."""
+    kinds = {c: prompts.schema[c].dataType for c in ("case_id", "prompt")}
+    parts = {"case_id": F.expr("substring(case_id, instr(case_id, '#') + 1)"), "prompt": F.expr("substring_index(case_id, '#', 1)")}
+    return rows.withColumns({c: part.cast(kinds[c]) for c, part in parts.items()})
+
+
 def rasterize_line(prompts: DataFrame, radius: int = 2, z_thickness: int = 0, keys: tuple[str, ...] = ("case_id",)) -> DataFrame:
     """Voxels of a line between the clipped endpoints, in the slice of their rounded mean z.
 

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from voxtally.operators.prompts import copy_to_prompts, key_by_prompt
+
 # Frame of the ellipsoid fixture (depth, height, width).
 FRAME = (24, 50, 50)
 # Frame of the scattered fixture.
@@ -13,6 +17,25 @@ SCATTER_FRAME = (7, 24, 24)
 THRESHOLDS = [0.35, 0.4, 0.45, 0.5, 0.55, 0.6, 0.65, 0.7, 0.75]
 
 
+# Whether tables of the ellipsoid fixture are built once for every prompt of a case.
+_EVERY_PROMPT = False
+
+
+@contextmanager
+def every_prompt():
+    """Inside, ``case_prompts`` are all prompts under keys of their own, and ``gt``, ``pred`` and ``meta`` have a copy for each."""
+    global _EVERY_PROMPT
+    before, _EVERY_PROMPT = _EVERY_PROMPT, True
+    try:
+        yield
+    finally:
+        _EVERY_PROMPT = before
+
+
+def _copies(rows: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    return copy_to_prompts(rows, prompts(spark, sf_dir)) if _EVERY_PROMPT else rows
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -52,21 +75,22 @@ def _ellipsoids(rows: DataFrame, dy: str, dx: str, radius_x: str) -> DataFrame:
 
 
 def gt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _ellipsoids(lesions(spark, sf_dir), "0", "0", "rx")
+    return _copies(_ellipsoids(lesions(spark, sf_dir), "0", "0", "rx"), spark, sf_dir)
 
 
 def pred(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = lesions(spark, sf_dir).where("found")
-    return _ellipsoids(kept, "cast((ck div 2) % 2 AS int)", "cast(ck % 2 AS int)", "cast(rx + ck % 2 AS int)")
+    return _copies(_ellipsoids(kept, "cast((ck div 2) % 2 AS int)", "cast(ck % 2 AS int)", "cast(rx + ck % 2 AS int)"), spark, sf_dir)
 
 
 def meta(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shape and spacing, one row per case."""
     nz, ny, nx = FRAME
-    return lesions(spark, sf_dir).select("case_id").distinct().selectExpr(
+    cases = lesions(spark, sf_dir).select("case_id").distinct().selectExpr(
         "case_id", f"{nz} AS nz", f"{ny} AS ny", f"{nx} AS nx",
         "cast(1 + case_id % 3 AS double) AS sz", "1D AS sy", "1D AS sx",
     )
+    return _copies(cases, spark, sf_dir)
 
 
 def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,8 +104,15 @@ def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def tilted_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All prompts, tilted by their ordinals."""
+    return prompts(spark, sf_dir).withColumn("by", F.expr("by + prompt % 4"))
+
+
 def case_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The longest diameter of every case (lowest ordinal on ties), tilted by its ordinal."""
+    if _EVERY_PROMPT:
+        return key_by_prompt(tilted_prompts(spark, sf_dir))
     cols = ["label", "ax", "ay", "az", "bx", "by", "bz", "slice", "nz", "ny", "nx"]
     best = prompts(spark, sf_dir).groupBy("case_id").agg(
         F.max_by(F.struct("prompt", *cols), F.struct(F.expr("bx - ax"), -F.col("prompt"))).alias("p")

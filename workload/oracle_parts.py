@@ -109,13 +109,14 @@ PARTS["label_scores"] = (["label_dice", "within"], """SELECT d.case_id, d.label,
   FROM label_dice d JOIN (SELECT case_id, label, sum(near_area) / sum(area) AS nsd FROM within GROUP BY 1, 2) n USING (case_id, label)""")
 
 
-def sql(parts: list[str], body: str) -> str:
-    """``body`` preceded by the parts it needs, in order of need."""
+def sql(parts: list[str], body: str, changed: dict[str, tuple[list[str], str]] | None = None) -> str:
+    """``body`` preceded by the parts it needs, in order of need; ``changed`` parts stand in for those of their name."""
     order: list[str] = []
+    known = PARTS | (changed or {})
 
     def need(name: str) -> None:
         if name not in order:
-            for other in PARTS[name][0]:
+            for other in known[name][0]:
                 need(other)
             order.append(name)
 
@@ -125,10 +126,10 @@ def sql(parts: list[str], body: str) -> str:
     ctes = []
     for name in order:
         if name.endswith("_cc"):
-            ctes.append(f"{name}(case_id, label, lin, root) USING KEY (case_id, label, lin) AS ({PARTS[name][1]})")
+            ctes.append(f"{name}(case_id, label, lin, root) USING KEY (case_id, label, lin) AS ({known[name][1]})")
         else:
             hint = "MATERIALIZED " if name not in ("facets", "ball") else ""
-            ctes.append(f"{name} AS {hint}({PARTS[name][1]})")
+            ctes.append(f"{name} AS {hint}({known[name][1]})")
     if not ctes:
         return "WITH" + body.lstrip()[1:] if body.lstrip().startswith(",") else body
     return f"WITH {'RECURSIVE ' if recursive else ''}{', '.join(ctes)} {body}"

@@ -66,6 +66,18 @@ def test_language_of_hard_rows(docs_of, hard):
     assert kept.columns == docs.columns and Counter(r.text for r in kept.collect()) == Counter(known)
 
 
+def test_known_rows_are_those_op2_names(docs_of):
+    rng = np.random.default_rng(5)
+    learned = [(k, "the quick brown fox jumps over the lazy dog and runs home", "en", "a") for k in range(20)]
+    learned += [(20 + k, "der schnelle braune fuchs springt und rennt nach hause", "de", "a") for k in range(20)]
+    short = [(100 + k, word, None, "b") for k, word in enumerate("fox lazy runs haus und brunch zebra it".split())]
+    scripts = [(200 + k, " ".join("".join(map(chr, rng.integers(low, low + 24, 6))) for _ in range(20)), None, "c") for k, low in enumerate([0x3B1, 0x430, 0x4E00] * 20)]
+    none = [(300, "12 !? 7", None, "c"), (301, "", None, "c"), (302, None, None, "c")]
+    docs = docs_of(learned + short + scripts + none)
+    kept = Counter(r.doc_id for r in langid.keep_known(docs).collect())
+    assert kept == Counter(r.doc_id for r in langid.identify(docs).collect() if r.lang_pred != "und") == Counter(row[0] for row in learned + short + scripts)
+
+
 def test_bundles_match_a_plain_version():
     b = langid.Bundler(64)
     texts = ["Hé, llo 12 wörld", "", "a", "漢字 漢", "aaa aaa aaa"]

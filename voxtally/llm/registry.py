@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from voxtally.llm import chat, edits, exact, fingerprint, langid, lexical, mixing, neardup, packing, quality, token_files, urls
+from voxtally.llm import chat, edits, exact, fingerprint, langid, lexical, mixing, neardup, packing, quality, repair, token_files, urls
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_edit_counts": edits.op10_edit_counts,
     "op11_ranked_search": lexical.op11_ranked_search,
     "op12_url_filters": urls.op12_url_filters,
+    "op13_structure_repair": repair.op13_structure_repair,
 }
 
-ORACLES = {"op3_reply_trees": chat.OP3_SQL, "op4_exact_dedup": exact.OP4_SQL, "op8_source_mixing": mixing.OP8_SQL, "op11_ranked_search": lexical.OP11_SQL}
+ORACLES = {"op3_reply_trees": chat.OP3_SQL, "op4_exact_dedup": exact.OP4_SQL, "op8_source_mixing": mixing.OP8_SQL, "op11_ranked_search": lexical.OP11_SQL, "op13_structure_repair": repair.OP13_SQL}

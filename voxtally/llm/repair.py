@@ -36,6 +36,12 @@ _NEXT = {START: ASKED, SYSTEM: ASKED, ASKED: ANSWERED, ANSWERED: ASKED}
 _KEPT = {("s", START): SYSTEM, ("u", START): ASKED, ("u", SYSTEM): ASKED, ("u", ANSWERED): ASKED, ("a", ASKED): ANSWERED}
 INSERT_COST, REROLE_COST, DELETE_COST, TRUNCATED_COST = 2, 2, 3, 1
 _CLOSING = {START: 0, SYSTEM: 2, ASKED: 1, ANSWERED: 0}
+#: What it costs at most to go on from the first state as a path may from the second: deleting the system row that only a start can keep (3),
+#: answering (2) or asking (2) by an insert, or both at the end (4). A survivor that is dearer by more can't be part of the best path.
+_IMITATES = {
+    (START, SYSTEM): 0, (START, ASKED): 2, (START, ANSWERED): 0, (SYSTEM, START): 4, (SYSTEM, ASKED): 2, (SYSTEM, ANSWERED): 4,
+    (ASKED, START): 5, (ASKED, SYSTEM): 2, (ASKED, ANSWERED): 2, (ANSWERED, START): 3, (ANSWERED, SYSTEM): 0, (ANSWERED, ASKED): 2,
+}
 _LEGAL = {"su", "ua", "au"}
 _TOKEN = re.compile("I*[KRD]")
 
@@ -80,8 +86,11 @@ class Survivors:
             had = best.get(target)
             if had is None or total < had[0] or (total == had[0] and self._less(node, label, had[1], had[2])):
                 best[target] = (total, node, label)
+        hopeless = {t for t in best for o in best if o != t and best[t][0] > best[o][0] + _IMITATES[o, t]}
         before, self.leaves = self.leaves, {}
         for target, (total, node, label) in best.items():
+            if target in hopeless:
+                continue
             node.children += 1
             self.leaves[target] = (total, _Node(node, label, target))
         for _, node in before.values():
@@ -342,7 +351,7 @@ def _hashed(batches):
 def audit_conversations(conversations: DataFrame, rows: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """The contract's row of every conv_id of ``conversations``, whose rows, after whatever was done to them, are ``rows``.
 
-    A conv_id without rows has zeros, an empty audit and the hash of nothing; an empty table gives no rows.
+    A role without one of the initials s, u and a, the empty one too, can't be kept. A conv_id without rows has zeros, an empty audit and the hash of nothing; an empty table gives no rows.
     """
     path = new_path(rows.sparkSession, "numbered")
     numbered(rows).write.parquet(path)
@@ -374,3 +383,38 @@ def op13_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation's faults and cheapest repair after the contract's damage."""
     conversations = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     return audit_conversations(conversations, damaged(conversations))
+
+
+def _moves_sql() -> str:
+    """Moves as rows for the twin: initial, fault, from, to, cost, token, roles inserted, role set."""
+    shown = lambda roles: "[" + ", ".join(f"'{r}'" for r in roles) + "]"
+    rows = []
+    for initial in "suao":
+        for fault in "bdt-":
+            for source, target, cost, token in moves(initial, fault):
+                ((roles, set_role, _),) = replay(source, token, initial)
+                rows.append(f"('{initial}', '{fault}', {source}, {target}, {cost}, '{token}', {shown(roles)}::VARCHAR[], {repr(set_role) if set_role else 'NULL'})")
+    return ", ".join(rows)
+
+
+OP13_SQL = rf"""
+WITH RECURSIVE crc AS MATERIALIZED (SELECT list(list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY n) AS t FROM range(0, 256) r(n)),
+keyed AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), '') AS k FROM conversations),
+marked AS (SELECT conv_id, turn, role, text, xor(list_reduce([4294967295] || list_transform(k, lambda c: ascii(c)::BIGINT), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS kind FROM keyed, crc),
+damage AS (SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE kind WHEN 3 THEN 2 ELSE 1 END)) AS copy
+  FROM marked WHERE kind <> 0),
+placed AS (SELECT coalesce(conv_id, {NULL_ID}) AS conv, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, left(text, {HEAD}), sha256(text), copy) - 1 AS pos,
+  CASE WHEN left(role, 1) IN ('s', 'u', 'a') THEN left(role, 1) ELSE 'o' END AS initial FROM damage),
+faults AS MATERIALIZED (SELECT *, lag(initial) OVER (PARTITION BY conv ORDER BY pos) AS before, CASE WHEN NOT regexp_matches(text, '{BLANK}') THEN 'b'
+  WHEN row_number() OVER (PARTITION BY conv, role, text ORDER BY pos) > 1 THEN 'd' WHEN right(rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) NOT IN ('.', '!', '?') THEN 't' ELSE '-' END AS fault FROM placed),
+moves AS MATERIALIZED (SELECT * FROM (VALUES {_moves_sql()}) m(initial, fault, state, target, price, token, roles, set_role)),
+walk AS (SELECT DISTINCT conv, 0::BIGINT AS pos, 0 AS state, {{'cost': 0, 'audit': '', 'said': []::VARCHAR[]}} AS best FROM faults
+  UNION ALL SELECT w.conv, w.pos + 1, target, min({{'cost': best.cost + price, 'audit': best.audit || token, 'said': best.said || list_transform(roles, lambda r: r || ':') || CASE WHEN token LIKE '%D' THEN [] ELSE [coalesce(set_role, role) || ':' || text] END}})
+  FROM walk w JOIN faults f ON f.conv = w.conv AND f.pos = w.pos JOIN moves m ON m.initial = f.initial AND m.fault = f.fault AND m.state = w.state GROUP BY w.conv, w.pos, target),
+counts AS (SELECT conv, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated,
+  count(*) FILTER (before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal FROM faults GROUP BY 1),
+closed AS (SELECT conv, min({{'cost': best.cost + 2 * len(z), 'audit': best.audit || repeat('I', len(z)), 'said': best.said || z}}) AS best FROM walk JOIN counts USING (conv)
+  JOIN (VALUES (0, []::VARCHAR[]), (1, ['user:', 'assistant:']), (2, ['assistant:']), (3, [])) e(state, z) USING (state) WHERE pos = n GROUP BY 1)
+SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(best.cost, 0)::BIGINT AS cost,
+  coalesce(best.audit, '') AS audit, sha256(coalesce(array_to_string(best.said, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counts c ON c.conv = coalesce(o.conv_id, {NULL_ID}) LEFT JOIN closed d ON d.conv = c.conv"""

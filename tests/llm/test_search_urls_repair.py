@@ -39,9 +39,9 @@ def plain_search(docs, queries, listed):
     return sorted(out, key=lambda r: r[:2])
 
 
-@pytest.mark.parametrize("shelf_docs, first", [(4096, 4), (3, 1), (1, 2)])
-def test_search_matches_a_plain_version(spark, docs_of, hard, monkeypatch, shelf_docs, first):
-    monkeypatch.setattr(lexical, "SHELF_DOCS", shelf_docs)
+@pytest.mark.parametrize("shelf, first", [(400_000, 4), (30, 1), (1, 2)])
+def test_search_matches_a_plain_version(spark, docs_of, hard, monkeypatch, shelf, first):
+    monkeypatch.setattr(lexical, "SHELF_POSTINGS", shelf)
     monkeypatch.setattr(lexical, "FIRST_SHELVES", first)
     monkeypatch.setattr(lexical, "BLOCK_QUERIES", 2)
     rng = random.Random(3)

@@ -1,7 +1,7 @@
 """Ranked lexical search over a length-stratified index.
 
 Documents of one normaliser ``m`` form a stratum; its postings are lists of documents by (term, tf), so that a term's impact is one number a
-list. Neighbouring strata share a shelf until it holds SHELF_DOCS documents, a larger stratum is dealt over slots, and a task scores a
+list. Neighbouring strata share a shelf until it holds SHELF_POSTINGS postings, a larger stratum is dealt over slots, and a task scores a
 (shelf, slot) at a time. A query visits its shelves by their bounds, what the largest tf of its terms in each stratum could add up to: first
 FIRST_SHELVES of them, then those whose bound reaches the score of the last document that the first visit ranked.
 """
@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from voxtally.llm.shared import documents, stored
 
-#: Documents of a shelf, about; a larger stratum is dealt over as many slots as it fills.
-SHELF_DOCS = 4096
+#: Postings, a document and one of its terms, of a shelf, about; a larger stratum is dealt over as many slots as it fills.
+SHELF_POSTINGS = 400_000
 FIRST_SHELVES = 4
 #: Queries whose scores are held as one array.
 BLOCK_QUERIES = 128
@@ -37,21 +37,22 @@ def terms_of(text: bytes) -> list[bytes]:
 
 
 def term_counts(df: DataFrame, column: str, keep: list[str]) -> DataFrame:
-    """The ``keep`` columns with n, all terms of a text, and its different terms: ``words``, blanks between, and their counts ``tfs``."""
+    """The ``keep`` columns with n, all terms of a text, its ``different`` ones, those as ``words``, blanks between, and their counts ``tfs``."""
 
     def count(batches):
         for batch in batches:
-            sizes, words, tfs = [], [], []
+            sizes, kinds, words, tfs = [], [], [], []
             for text in batch.column(0).cast(pa.binary()).to_pylist():
                 found = Counter(terms_of(text or b""))
                 sizes.append(found.total())
+                kinds.append(len(found))
                 words.append(b" ".join(found))
                 tfs.append(np.fromiter(found.values(), np.int64, len(found)).tobytes())
-            columns = [*batch.columns[1:], pa.array(sizes, pa.int64()), pa.array(words, pa.binary()).cast(pa.string()), pa.array(tfs, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=[*keep, "n", "words", "tfs"])
+            columns = [*batch.columns[1:], pa.array(sizes, pa.int64()), pa.array(kinds, pa.int64()), pa.array(words, pa.binary()).cast(pa.string()), pa.array(tfs, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=[*keep, "n", "different", "words", "tfs"])
 
-    kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
-    return df.select(column, *keep).mapInArrow(count, f"{kinds}, n long, words string, tfs binary")
+    kept = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
+    return df.select(column, *keep).mapInArrow(count, f"{kept}, n long, different long, words string, tfs binary")
 
 
 @dataclass
@@ -107,9 +108,9 @@ def build(docs: DataFrame) -> Index:
     number, terms = counted.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     placed = counted.withColumn("m", F.expr(f"100 - 50 + (50 * n * {number}L) div {max(terms, 1)}L")).withColumn("row", F.monotonically_increasing_id())
     # one row a stratum: their number follows the longest text, not the documents
-    strata = placed.groupBy("m").agg(F.count("*").alias("held"))
+    strata = placed.groupBy("m").agg(F.sum("different").alias("held"))
     upto = F.sum("held").over(Window.orderBy("m")) - F.col("held")
-    strata = strata.select("m", F.floor(upto / SHELF_DOCS).alias("shelf"), F.ceil(F.col("held") / SHELF_DOCS).alias("slots"))
+    strata = strata.select("m", F.floor(upto / SHELF_POSTINGS).alias("shelf"), F.ceil(F.col("held") / SHELF_POSTINGS).alias("slots"))
     slots = placed.join(strata, "m").select("shelf", F.pmod(F.xxhash64("row"), "slots").alias("slot"), "m", "doc_id", "words", "tfs")
     postings = slots.repartition("shelf", "slot").sortWithinPartitions("shelf", "slot").mapInArrow(_post, _POSTINGS)
     return Index(stored(postings, "postings"), number, terms)

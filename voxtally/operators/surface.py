@@ -1,28 +1,28 @@
 """Surface metrics between two labelled masks.
 
 A border cell sits on a corner shared by eight voxels; its code says which of them the mask holds.
-The unit of work is the slice: all border cells of one (case, label, side, z) travel as one row of
-arrays, so the tolerance test ships a slice to its few neighbouring slices instead of every cell to every offset.
-No group is larger than a slice. Areas are summed per code as counts and turned into mm2 at the end.
+The unit of work is the slice: all border cells of one (case, label, side, z) travel as one row of packed
+numbers, and a task works on the planes of many slices at once. The tolerance test ships a slice to its few neighbouring
+slices; exact distances are taken along x and y in a slice, then along z in planes of one y. No group is larger
+than a slice or such a plane. Areas are summed per code as counts and turned into mm2 at the end.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import reduce
 from itertools import product
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from voxtally.functions.grids import changes, group_starts, nearest_along, packed, shares, unpacked, whole_groups
 from voxtally.operators.components import mask_runs
-from voxtally.operators.overlap import dice_column, label_tallies
+from voxtally.operators.overlap import dice_column
 from voxtally.session import cut_lineage, small_side
 
 SURFACE = ["case_id", "label", "side"]
+SLICE = [*SURFACE, "z"]
 
 
 def code_facets() -> list[tuple[int, list[tuple[int, int, int]]]]:
@@ -81,6 +81,10 @@ def corner_weight(z: int, y: int, x: int) -> int:
     return 128 >> (4 * z + 2 * y + x)
 
 
+#: Bits that a run's voxels set in the cells at their near and far ends, by the steps in z and y from voxel to cell.
+_NEAR, _FAR = (np.array([[corner_weight(1 - dz, 1 - dy, far) for dy in (0, 1)] for dz in (0, 1)]) for far in (1, 0))
+
+
 def facet_table(spark) -> DataFrame:
     """256 fixed rows: code and up to four facets."""
     rows = [(code, facets) for code, facets in code_facets()]
@@ -96,30 +100,63 @@ def both_sides(gt: DataFrame, pred: DataFrame) -> DataFrame:
     return gt.withColumn("side", F.lit(0)).unionByName(pred.withColumn("side", F.lit(1)))
 
 
-def border_slices(sides: DataFrame) -> DataFrame:
-    """``(case_id, label, side, z, ys, xs, codes)``: the border cells of a slice as three arrays.
+def _cells(batches):
+    """Border cells of every slice as packed numbers, from the runs of voxels above and below it.
 
-    A voxel adds to the eight cells at its corners. Runs carry that through the one shuffle, on the slice; cells and slices
-    are then built inside its partitions.
+    A run adds its corners' bits to the cells from its first voxel to behind its last; sums along the flat planes of many slices give the codes.
     """
-    runs = mask_runs(sides, tuple(SURFACE))
-    corners = ", ".join(
-        f"named_struct('dz', {dz}, 'dy', {dy}, 'near', {corner_weight(1 - dz, 1 - dy, 1)}, 'far', {corner_weight(1 - dz, 1 - dy, 0)})"
-        for dz, dy in product((0, 1), repeat=2)
-    )
-    spread = runs.selectExpr(*SURFACE, "z", "y", "x0", "x1", f"inline(array({corners}))").selectExpr(
-        *SURFACE, "z + dz AS z", "y + dy AS y", "x0", "x1", "near", "far"
-    )
-    cells = (
-        spread.repartition(*SURFACE, "z")
-        .selectExpr(*SURFACE, "z", "y", "x0", "x1", "near", "far", "explode(sequence(x0, x1 + 1)) AS x")
-        .selectExpr(*SURFACE, "z", "y", "x", "if(x <= x1, near, 0) + if(x > x0, far, 0) AS bits")
-        .groupBy(*SURFACE, "z", "y", "x")
-        .agg(F.sum("bits").cast("int").alias("code"))
-        .where("code < 255")
-    )
-    packed = cells.groupBy(*SURFACE, "z").agg(F.collect_list(F.struct("y", "x", "code")).alias("c"))
-    return packed.selectExpr(*SURFACE, "z", "c.y AS ys", "c.x AS xs", "c.code AS codes")
+    for table in whole_groups(batches, SLICE):
+        starts = group_starts(table, SLICE)
+        ends = np.r_[starts, table.num_rows]
+        y, x0, x1, dz = (table[c].to_numpy().astype(np.int64) for c in ("y", "x0", "x1", "dz"))
+        low_y, low_x = np.minimum.reduceat(y, starts), np.minimum.reduceat(x0, starts)
+        width = np.maximum.reduceat(x1, starts) - low_x + 3
+        size = (np.maximum.reduceat(y, starts) - low_y + 2) * width
+        for first, last in shares(size):
+            rows = slice(ends[first], ends[last])
+            of = np.repeat(np.arange(first, last), np.diff(ends[first : last + 1]))
+            base = np.r_[0, np.cumsum(size[first:last])]
+            line = base[of - first] + (y[rows] - low_y[of]) * width[of] - low_x[of]
+            places, bits = [], []
+            for down in (0, 1):
+                near, far = _NEAR[dz[rows], down], _FAR[dz[rows], down]
+                at = line + down * width[of]
+                places += [at + x0[rows], at + x1[rows] + 1, at + x0[rows] + 1, at + x1[rows] + 2]
+                bits += [near, -near, far, -far]
+            codes = np.cumsum(np.bincount(np.concatenate(places), np.concatenate(bits), base[-1] + 1)).astype(np.int64)
+            cells = np.flatnonzero((codes > 0) & (codes < 255))
+            of = first + np.searchsorted(base, cells, side="right") - 1
+            inside = cells - base[of - first]
+            counts = np.bincount(of - first, minlength=last - first)
+            named = [table[c].take(pa.array(starts[first:last])).combine_chunks() for c in SLICE]
+            ys, xs = (inside // width[of] + low_y[of]).astype(np.int32), (inside % width[of] + low_x[of]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*named, packed(ys, counts), packed(xs, counts), packed(codes[cells].astype(np.uint8), counts)], names=[*SLICE, "ys", "xs", "codes"])
+
+
+def side_runs(gt: DataFrame, pred: DataFrame) -> DataFrame:
+    """Runs of both masks, ``(case_id, label, side, z, y, x0, x1)``."""
+    return mask_runs(both_sides(gt, pred), tuple(SURFACE))
+
+
+def run_tallies(runs: DataFrame) -> DataFrame:
+    """Voxels of both sides and common ones per (case_id, label), counted run against run."""
+    voxels = lambda side: F.sum(F.expr(f"if(side = {side}, cast(x1 - x0 + 1 AS bigint), 0)"))
+    sizes = runs.groupBy("case_id", "label").agg(voxels(0).alias("gt_voxels"), voxels(1).alias("pred_voxels"))
+    other = runs.where("side = 1").selectExpr("case_id", "label", "z", "y", "x0 AS b0", "x1 AS b1")
+    met = runs.where("side = 0").join(other, ["case_id", "label", "z", "y"]).where("x0 <= b1 AND b0 <= x1")
+    common = met.groupBy("case_id", "label").agg(F.sum(F.expr("cast(least(x1, b1) - greatest(x0, b0) + 1 AS bigint)")).alias("tp"))
+    return sizes.join(common, ["case_id", "label"], "left").fillna(0, ["tp"])
+
+
+def border_slices(runs: DataFrame) -> DataFrame:
+    """``(case_id, label, side, z, ys, xs, codes)``: the border cells of a slice as packed numbers (32, 32 and 8 bits), from :func:`side_runs`.
+
+    A voxel adds to the eight cells at its corners. Runs go to the two slices that they touch, the one shuffle; cells are built inside its partitions.
+    """
+    touched = runs.selectExpr(*SURFACE, "z", "y", "x0", "x1", "explode(array(0, 1)) AS dz").selectExpr(*SURFACE, "z + dz AS z", "y", "x0", "x1", "dz")
+    kinds = ", ".join(f"{c} {touched.schema[c].dataType.simpleString()}" for c in SLICE)
+    sorted_runs = touched.repartition(*SLICE).sortWithinPartitions(*SLICE)
+    return sorted_runs.mapInArrow(_cells, f"{kinds}, ys binary, xs binary, codes binary").where("length(codes) > 0")
 
 
 def _areas(counts: DataFrame, meta: DataFrame) -> DataFrame:
@@ -135,69 +172,110 @@ def _spacing(meta: DataFrame, keep: DataFrame | None = None) -> DataFrame:
     return small_side(spacing if keep is None else spacing.join(keep.select("case_id", "label"), "case_id"))
 
 
-def _pair_blocks(y, x, v, u, step_y: float, step_x: float) -> Iterator[tuple[int, np.ndarray]]:
-    """Squared in-plane distances between two sets of cells, a bounded block of rows at a time."""
-    rows = max(1, 4_000_000 // max(len(v), 1))
-    for i in range(0, len(y), rows):
-        yield i, (np.subtract.outer(y[i : i + rows], v) * step_y) ** 2 + (np.subtract.outer(x[i : i + rows], u) * step_x) ** 2
-
+def _hits(table: pa.Table) -> pa.RecordBatch:
+    """Cells by code, and those with a target in reach, of whole slices: rows with codes ask, rows with ``room`` are targets.
 
-@F.pandas_udf(T.ArrayType(T.BooleanType()))
-def _any_within(
-    ys: pd.Series, xs: pd.Series, ty: pd.Series, tx: pd.Series, room: pd.Series, sy: pd.Series, sx: pd.Series
-) -> pd.Series:
-    """Whether each cell of a slice has a target whose in-plane squared distance is within that target's ``room``.
-
-    Targets of one room are marked in a plane around the cells; each cell then looks at the offsets of that room's disk, so the work is
-    linear in cells.
+    All slices' planes lie flat behind each other. A target marks the offsets of its room's disk in its plane, for all targets at once, so the
+    work is linear in cells and the number of numpy steps is that of offsets.
     """
-    out = []
-    for y, x, v, u, r, step_y, step_x in zip(ys, xs, ty, tx, room, sy, sx):
-        hit = np.zeros(len(y), dtype=bool)
-        y, x, v, u, r = (np.asarray(c) for c in (y, x, v, u, r))
-        for reach in np.unique(r[r >= 0]):
-            dy, dx = int(np.sqrt(reach) / step_y) + 1, int(np.sqrt(reach) / step_x) + 1
-            near = (r == reach) & (v >= y.min() - dy) & (v <= y.max() + dy) & (u >= x.min() - dx) & (u <= x.max() + dx)
-            plane = np.zeros((int(y.max() - y.min()) + 2 * dy + 1, int(x.max() - x.min()) + 2 * dx + 1), dtype=bool)
-            plane[v[near] - y.min() + dy, u[near] - x.min() + dx] = True
-            for j, i in product(range(-dy, dy + 1), range(-dx, dx + 1)):
-                if (j * step_y) ** 2 + (i * step_x) ** 2 <= reach:
-                    hit |= plane[y - y.min() + dy + j, x - x.min() + dx + i]
-        out.append(hit)
-    return pd.Series(out)
-
-
-def surface_within(gt: DataFrame, pred: DataFrame, meta: DataFrame, tolerance: float = 2.0, keep: DataFrame | None = None) -> DataFrame:
-    """Border area per ``(case_id, label, side)`` in total and within ``tolerance`` mm of the other side.
-
-    Every slice is offered to the slices of the other side within tolerance along z, a fixed few, and meets them in one group.
+    asking = table["room"].is_null().to_numpy()
+    group = np.cumsum(np.r_[False, _changes(table)])
+    ys, counts = unpacked(table["ys"], np.int32)
+    xs, _ = unpacked(table["xs"], np.int32)
+    codes, _ = unpacked(table["codes"], np.uint8)
+    row = np.repeat(np.arange(table.num_rows), counts)
+    own = asking[row]
+    cell_of, y, x = group[row[own]], ys[own].astype(np.int64), xs[own].astype(np.int64)
+    room, step_y, step_x = (np.asarray(table[c].fill_null(0.0).to_numpy(), np.float64) for c in ("room", "sy", "sx"))
+    groups = int(group[-1]) + 1
+    starts = np.flatnonzero(np.r_[True, np.diff(cell_of) != 0])
+    asked = cell_of[starts]
+    low_y, high_y, low_x, high_x = (np.zeros(groups, np.int64) for _ in range(4))
+    for low, high, values in ((low_y, high_y, y), (low_x, high_x, x)):
+        low[asked], high[asked] = np.minimum.reduceat(values, starts), np.maximum.reduceat(values, starts)
+    reach_y, reach_x = (np.zeros(groups, np.int64) for _ in range(2))
+    for reach, step in ((reach_y, step_y), (reach_x, step_x)):
+        np.maximum.at(reach, group, np.floor(np.sqrt(room) / step).astype(np.int64))
+    known = np.zeros(groups, bool)
+    known[asked] = True
+    target = ~own & known[group[row]]
+    of, ty, tx, at = group[row[target]], ys[target].astype(np.int64), xs[target].astype(np.int64), row[target]
+    near = (ty >= low_y[of] - reach_y[of]) & (ty <= high_y[of] + reach_y[of]) & (tx >= low_x[of] - reach_x[of]) & (tx <= high_x[of] + reach_x[of])
+    of, ty, tx, at = of[near], ty[near], tx[near], at[near]
+    # planes are as wide as all that a target in reach may mark
+    low_y, low_x = low_y - 2 * reach_y, low_x - 2 * reach_x
+    width = high_x + 2 * reach_x - low_x + 1
+    size = np.where(known, (high_y + 2 * reach_y - low_y + 1) * width, 0)
+    hit = np.zeros(len(y), bool)
+    ends, cells = np.searchsorted(of, np.arange(groups + 1)), np.searchsorted(cell_of, np.arange(groups + 1))
+    for first, last in shares(size):
+        base = np.r_[0, np.cumsum(size[first:last])]
+        marked = np.zeros(base[-1], bool)
+        t = slice(ends[first], ends[last])
+        own_group = of[t]
+        line = width[own_group]
+        place = base[own_group - first] + (ty[t] - low_y[own_group]) * line + tx[t] - low_x[own_group]
+        left, dy, dx = room[at[t]], step_y[at[t]], step_x[at[t]]
+        if len(place):
+            for j in range(-int(reach_y[own_group].max()), int(reach_y[own_group].max()) + 1):
+                rest = left - (j * dy) ** 2
+                for i in range(-int(reach_x[own_group].max()), int(reach_x[own_group].max()) + 1):
+                    inside = (i * dx) ** 2 <= rest
+                    marked[place[inside] + j * line[inside] + i] = True
+        c = slice(cells[first], cells[last])
+        own_group = cell_of[c]
+        hit[c] = marked[base[own_group - first] + (y[c] - low_y[own_group]) * width[own_group] + x[c] - low_x[own_group]]
+    return _counted(table, cell_of, codes, hit)
+
+
+def _counted(table: pa.Table, cell_of: np.ndarray, codes: np.ndarray, hit: np.ndarray) -> pa.RecordBatch:
+    """Cells and hits of each slice by code."""
+    first = np.flatnonzero(np.r_[True, _changes(table)])
+    key = cell_of * 256 + codes
+    found, inverse = np.unique(key, return_inverse=True)
+    named = [table[c].take(pa.array(first[found // 256])).combine_chunks() for c in SURFACE]
+    n, hits = np.bincount(inverse, minlength=len(found)), np.bincount(inverse, hit, len(found)).astype(np.int64)
+    return pa.RecordBatch.from_arrays([*named, pa.array((found % 256).astype(np.int32)), pa.array(n.astype(np.int64)), pa.array(hits)], names=[*SURFACE, "code", "n", "hits"])
+
+
+def _changes(table: pa.Table) -> np.ndarray:
+    return changes(table, SLICE)
+
+
+def _within(runs: DataFrame, meta: DataFrame, tolerance: float = 2.0, keep: DataFrame | None = None) -> DataFrame:
+    """:func:`surface_within` from :func:`side_runs`.
+
+    Every slice is offered to the slices of the other side within tolerance along z, a fixed few, and meets them in one partition.
     ``keep(case_id, label)`` limits the work to labels that need it, before any border is built.
     """
     frames = _spacing(meta, keep)
     if keep is not None:
-        gt, pred = (m.join(keep.select("case_id", "label"), ["case_id", "label"], "left_semi") for m in (gt, pred))
-    slices = border_slices(both_sides(gt, pred)).join(frames, ["case_id"] if keep is None else ["case_id", "label"])
+        runs = runs.join(keep.select("case_id", "label"), ["case_id", "label"], "left_semi")
+    slices = border_slices(runs).join(frames, ["case_id"] if keep is None else ["case_id", "label"])
     tol = f"{float(tolerance)}D"
-    asking = slices.selectExpr(*SURFACE, "z", "sy", "sx", "ys", "xs", "codes", "cast(null AS array<double>) AS room")
-    offered = slices.selectExpr(
-        "case_id", "label", "1 - side AS side", "z", "sz", "sy", "sx", "ys", "xs",
-        f"explode(sequence(-cast(floor({tol} / sz) AS int), cast(floor({tol} / sz) AS int))) AS dz",
-    ).selectExpr(*SURFACE, "z + dz AS z", "sy", "sx", "ys", "xs", "cast(null AS array<int>) AS codes", f"array_repeat(pow({tol}, 2) - pow(dz * sz, 2), size(ys)) AS room")
-    met = asking.unionByName(offered).groupBy(*SURFACE, "z").agg(
-        F.any_value("sy").alias("sy"), F.any_value("sx").alias("sx"),
-        *[F.flatten(F.collect_list(F.when(F.col("codes").isNotNull(), F.col(c)))).alias(c) for c in ("ys", "xs")],
-        F.flatten(F.collect_list("codes")).alias("codes"), F.flatten(F.collect_list("room")).alias("room"),
-        *[F.flatten(F.collect_list(F.when(F.col("codes").isNull(), F.col(c)))).alias(f"t{c}") for c in ("ys", "xs")],
-    ).where("size(codes) > 0")
-    hits = met.withColumn("hits", _any_within("ys", "xs", "tys", "txs", "room", "sy", "sx"))
-    counts = hits.selectExpr(*SURFACE, "inline(arrays_zip(codes, hits))").groupBy(*SURFACE, F.col("codes").alias("code")).agg(
-        F.count(F.lit(1)).alias("n"), F.count_if("hits").alias("hits")
-    )
+    steps = f"sequence(-cast(floor({tol} / sz) AS int), cast(floor({tol} / sz) AS int))"
+    sent = f"concat(array(named_struct('side', side, 'z', z, 'room', cast(null AS double))), transform({steps}, d -> named_struct('side', 1 - side, 'z', z + d, 'room', pow({tol}, 2) - pow(d * sz, 2))))"
+    met = slices.selectExpr("case_id", "label", "sy", "sx", "ys", "xs", "codes", f"inline({sent})").withColumn("codes", F.expr("if(room IS NULL, codes, X'')"))
+    kinds = ", ".join(f"{c} {met.schema[c].dataType.simpleString()}" for c in SURFACE)
+
+    def count(batches):
+        for table in whole_groups(batches, SLICE):
+            if table["room"].null_count:
+                yield _hits(table)
+
+    sorted_slices = met.select(*SLICE, "room", "sy", "sx", "ys", "xs", "codes").repartition(*SLICE).sortWithinPartitions(*SLICE)
+    counts = sorted_slices.mapInArrow(count, f"{kinds}, code int, n bigint, hits bigint")
+    counts = counts.groupBy(*SURFACE, "code").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits"))
     return _areas(counts, frames).groupBy(*SURFACE).agg(
         F.sum(F.expr("n * area")).alias("area"), F.sum(F.expr("hits * area")).alias("near_area")
     )
 
 
+def surface_within(gt: DataFrame, pred: DataFrame, meta: DataFrame, tolerance: float = 2.0) -> DataFrame:
+    """Border area per ``(case_id, label, side)`` in total and within ``tolerance`` mm of the other side."""
+    return _within(side_runs(gt, pred), meta, tolerance)
+
+
 def surface_dice(gt: DataFrame, pred: DataFrame, meta: DataFrame, tolerance: float = 2.0) -> DataFrame:
     """Share of both borders within tolerance, per (case, label) present on either side; labels without a border
     on one side score 0."""
@@ -221,14 +299,15 @@ def label_metrics(
 
     A label above it whose case has no row in ``meta`` gets a null surface score.
     """
-    tallies = label_tallies(gt, pred)
+    runs = cut_lineage(side_runs(gt, pred))
+    tallies = run_tallies(runs)
     if labels is not None:
         wanted = labels.where("label > 0").select("case_id", "label").distinct()
         tallies = wanted.join(tallies, ["case_id", "label"], "left").fillna(0, ["gt_voxels", "pred_voxels", "tp"])
     scored = cut_lineage(tallies.withColumn("dsc", dice_column(F.col("tp"), F.col("gt_voxels"), F.col("pred_voxels"))))
     scored = scored.withColumn("worth", F.expr(f"dsc >= {float(floor)}D AND gt_voxels > 0 AND pred_voxels > 0"))
     worth = scored.where("worth")
-    within = surface_within(gt, pred, meta, tolerance, keep=worth)
+    within = _within(runs, meta, tolerance, keep=worth)
     nsd = within.groupBy("case_id", "label").agg((F.sum("near_area") / F.sum("area")).alias("nsd"))
     return scored.join(nsd, ["case_id", "label"], "left").select(
         "case_id", "label", "dsc",
@@ -237,55 +316,137 @@ def label_metrics(
     )
 
 
-@F.pandas_udf(T.ArrayType(T.DoubleType()))
-def _nearest2(cy: pd.Series, cx: pd.Series, ty: pd.Series, tx: pd.Series, dz2: pd.Series, sy: pd.Series, sx: pd.Series) -> pd.Series:
-    """Smallest squared distance of every cell of a slice to the cells of another slice; null when there are none."""
-    out = []
-    for y, x, v, u, base, step_y, step_x in zip(cy, cx, ty, tx, dz2, sy, sx):
-        if v is None or len(v) == 0:
-            out.append(None)
-            continue
-        best = np.empty(len(y))
-        for i, gap in _pair_blocks(y, x, v, u, step_y, step_x):
-            best[i : i + len(gap)] = gap.min(axis=1)
-        out.append(best + base)
-    return pd.Series(out)
+def _planes(batches):
+    """Rows of the squared in-plane distance to a slice's cells, for the points that the other side asks about, a line of the plane a row.
 
-
-def border_distances(gt: DataFrame, pred: DataFrame, meta: DataFrame, first_radius: float = 2.0) -> DataFrame:
+    Nearest along x, then along y, for the planes of many slices at once; small and large ones are worked on apart.
+    """
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        ys, counts = unpacked(table["ys"], np.int32)
+        xs, _ = unpacked(table["xs"], np.int32)
+        starts = np.r_[0, np.cumsum(counts)]
+        y0, y1, x0, x1 = (table[c].to_numpy().astype(np.int64) for c in ("y0", "y1", "x0", "x1"))
+        sy, sx = table["sy"].to_numpy(), table["sx"].to_numpy()
+        top, left = np.minimum(y0, np.minimum.reduceat(ys, starts[:-1])), np.minimum(x0, np.minimum.reduceat(xs, starts[:-1]))
+        high = np.maximum(y1, np.maximum.reduceat(ys, starts[:-1])) - top + 1
+        wide = np.maximum(x1, np.maximum.reduceat(xs, starts[:-1])) - left + 1
+        order = np.argsort(high * wide, kind="stable")
+        for first, last in shares((high * wide)[order]):
+            own = order[first:last]
+            shape = (len(own), int(high[own].max()), int(wide[own].max()))
+            plane = np.full(shape, np.inf)
+            for k, row in enumerate(own):
+                cells = slice(starts[row], starts[row + 1])
+                plane[k, ys[cells] - top[row], xs[cells] - left[row]] = 0.0
+            lines = np.isfinite(plane).any(axis=2)
+            plane[lines] = nearest_along(np.ascontiguousarray(plane[lines].T), np.repeat(sx[own], lines.sum(axis=1))).T
+            columns = np.ascontiguousarray(plane.transpose(1, 0, 2)).reshape(shape[1], -1)
+            near = nearest_along(columns, np.repeat(sy[own], shape[2])).reshape(shape[1], shape[0], shape[2])
+            values, widths, of, at = [], [], [], []
+            for k, row in enumerate(own):
+                h, w = int(y1[row] - y0[row]) + 1, int(x1[row] - x0[row]) + 1
+                values.append(near[y0[row] - top[row] : y1[row] - top[row] + 1, k, x0[row] - left[row] : x1[row] - left[row] + 1].ravel())
+                widths.append(np.full(h, w))
+                of.append(np.full(h, row))
+                at.append(np.arange(y0[row], y1[row] + 1, dtype=np.int32))
+            same = [table[c].take(pa.array(np.concatenate(of))).combine_chunks() for c in ("case_id", "label", "side", "z", "sz", "x0")]
+            yield pa.RecordBatch.from_arrays([*same, pa.array(np.concatenate(at)), packed(np.concatenate(values), np.concatenate(widths))], names=["case_id", "label", "side", "z", "sz", "x0", "y", "plane"])
+
+
+_LINE = [*SURFACE, "y"]
+
+
+def _columns(batches):
+    """Cells of one y by code and squared distance: the planes' lines of that y, one a slice, and their lowest along z where cells ask.
+
+    Groups of many ys lie beside each other, a column for each x of each.
+    """
+    for table in whole_groups(batches, _LINE):
+        if not table["plane"].null_count:
+            continue
+        group = np.cumsum(np.r_[False, changes(table, _LINE)])
+        asks = table["plane"].is_null().to_numpy()
+        z = table["z"].to_numpy().astype(np.int64)
+        xs, _ = unpacked(table["xs"], np.int32)
+        codes, cells = unpacked(table["codes"], np.uint8)
+        values, widths = unpacked(table["plane"], np.float64)
+        starts = np.flatnonzero(np.r_[True, np.diff(group) != 0])
+        low, high = np.minimum.reduceat(z, starts), np.maximum.reduceat(z, starts)
+        width = np.maximum.reduceat(widths, starts)
+        left, step = (np.maximum.reduceat(table[c].fill_null(least).to_numpy(), starts) for c, least in (("x0", -(2**31)), ("sz", 0.0)))
+        wanted = np.bincount(group[asks], minlength=len(starts)) > 0
+        ends, value_ends, cell_ends = np.r_[starts, len(z)], np.r_[0, np.cumsum(widths)], np.r_[0, np.cumsum(cells)]
+        for first, last in shares(np.where(wanted, width * int((high - low).max() + 1), 0)):
+            rows = slice(ends[first], ends[last])
+            base = np.r_[0, np.cumsum(width[first:last])]
+            field = np.full((int((high - low)[first:last].max()) + 1, int(base[-1])), np.inf)
+            of, depth, n = group[rows], z[rows] - low[group[rows]], widths[rows]
+            inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            field[np.repeat(depth, n), np.repeat(base[of - first], n) + inside] = values[value_ends[ends[first]] : value_ends[ends[last]]]
+            near = nearest_along(field, np.repeat(step[first:last], width[first:last]))
+            n = cells[rows]
+            c = slice(cell_ends[ends[first]], cell_ends[ends[last]])
+            own = np.repeat(of, n)
+            d2 = near[np.repeat(depth, n), base[own - first] + xs[c] - left[own]]
+            if not len(d2):
+                continue
+            key = own * 256 + codes[c]
+            order = np.lexsort((d2, key))
+            key, d2 = key[order], d2[order]
+            at = np.flatnonzero(np.r_[True, (np.diff(key) != 0) | (np.diff(d2) != 0)])
+            same = [table[name].take(pa.array(starts[key[at] // 256])).combine_chunks() for name in SURFACE]
+            counts = np.diff(np.r_[at, len(key)])
+            yield pa.RecordBatch.from_arrays([*same, pa.array((key[at] % 256).astype(np.int32)), pa.array(d2[at]), pa.array(counts)], names=[*SURFACE, "code", "d2", "n"])
+
+
+def _lines(batches):
+    """A slice's cells, a row for each y."""
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        ys, counts = unpacked(table["ys"], np.int32)
+        xs, _ = unpacked(table["xs"], np.int32)
+        codes, _ = unpacked(table["codes"], np.uint8)
+        row = np.repeat(np.arange(table.num_rows), counts)
+        first = np.flatnonzero(np.r_[True, (np.diff(row) != 0) | (np.diff(ys) != 0)]) if len(row) else np.empty(0, np.int64)
+        n = np.diff(np.r_[first, len(row)])
+        same = [table[c].take(pa.array(row[first])).combine_chunks() for c in SLICE]
+        yield pa.RecordBatch.from_arrays([*same, pa.array(ys[first]), packed(xs, n), packed(codes, n)], names=[*SLICE, "y", "xs", "codes"])
+
+
+def _bounds(batches):
+    """Box of every slice's cells."""
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        out = []
+        for name in ("ys", "xs"):
+            values, counts = unpacked(table[name], np.int32)
+            starts = np.r_[0, np.cumsum(counts)[:-1]]
+            out += [pa.array(np.minimum.reduceat(values, starts)), pa.array(np.maximum.reduceat(values, starts))]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], *out], names=[*SURFACE, "y0", "y1", "x0", "x1"])
+
+
+def border_distances(gt: DataFrame, pred: DataFrame, meta: DataFrame) -> DataFrame:
     """Exact squared mm distance from border cells to the other side's border.
 
     Returns ``(case_id, label, side, code, d2, n)``: cells counted by code and distance. Only labels with a border on
-    both sides appear. Each round looks ``radius`` mm along z; a cell is settled once its best distance is within the
-    radius, because a nearer cell cannot lie further away in z. The radius doubles for the rest.
+    both sides appear. Distances are separable: each slice gives the distances inside its own plane, over the box of the
+    other side's cells, and the planes' lines of one y meet for the third axis. Two shuffles behind the borders, whatever the distances.
     """
-    slices = border_slices(both_sides(gt, pred))
-    paired = slices.groupBy("case_id", "label").agg(F.count_distinct("side").alias("n")).where("n = 2")
-    flat = slices.join(paired, ["case_id", "label"], "left_semi").join(_spacing(meta), "case_id")
-    slices = cut_lineage(flat)
-    asking = slices.select(*SURFACE, "z", "ys", "xs", "codes")
-    settled, radius = [], float(first_radius)
-    while True:
-        reach = f"cast(floor({radius}D / sz) AS int)"
-        offered = slices.selectExpr(
-            "case_id", "label", "1 - side AS side", "z", "sz", "sy", "sx", "ys AS ty", "xs AS tx", f"explode(sequence(-{reach}, {reach})) AS dz"
-        ).selectExpr(*SURFACE, "z + dz AS z", "sy", "sx", "ty", "tx", "pow(dz * sz, 2) AS dz2")
-        pairs = asking.join(offered, [*SURFACE, "z"], "left")
-        near = pairs.select(*SURFACE, "z", "ys", "xs", "codes", _nearest2("ys", "xs", "ty", "tx", "dz2", "sy", "sx").alias("d2s"))
-        per_cell = near.selectExpr(
-            *SURFACE, "z", "inline(transform(ys, (v, i) -> named_struct('y', v, 'x', xs[i], 'code', codes[i], 'd2', d2s[i])))",
-        )
-        best = cut_lineage(per_cell.groupBy(*SURFACE, "z", "y", "x", "code").agg(F.min("d2").alias("d2")))
-        done = F.coalesce(F.col("d2") <= radius * radius, F.lit(False))
-        settled.append(best.where(done))
-        rest = best.where(~done)
-        if rest.isEmpty():
-            break
-        open_cells = rest.groupBy(*SURFACE, "z").agg(F.collect_list(F.struct("y", "x", "code")).alias("cells"))
-        asking = open_cells.selectExpr(*SURFACE, "z", "cells.y AS ys", "cells.x AS xs", "cells.code AS codes")
-        radius *= 2
-    cells = reduce(DataFrame.unionByName, settled)
-    return cells.groupBy(*SURFACE, "code", "d2").agg(F.count(F.lit(1)).alias("n"))
+    slices = cut_lineage(border_slices(side_runs(gt, pred)))
+    kinds = ", ".join(f"{c} {slices.schema[c].dataType.simpleString()}" for c in SURFACE)
+    boxes = slices.select(*SURFACE, "ys", "xs").mapInArrow(_bounds, f"{kinds}, y0 int, y1 int, x0 int, x1 int")
+    boxes = boxes.groupBy(*SURFACE).agg(F.min("y0").alias("y0"), F.max("y1").alias("y1"), F.min("x0").alias("x0"), F.max("x1").alias("x1"))
+    asked = boxes.withColumn("side", F.expr("1 - side")).join(_spacing(meta), "case_id")
+    offered = slices.select(*SLICE, "ys", "xs").join(asked, SURFACE)
+    planes = offered.mapInArrow(_planes, f"{kinds}, z int, sz double, x0 int, y int, plane binary")
+    none = lambda c, kind: F.lit(None).cast(kind).alias(c)
+    cells = slices.join(asked.select(*SURFACE), SURFACE, "left_semi").select(*SLICE, "ys", "xs", "codes").mapInArrow(_lines, f"{kinds}, z int, y int, xs binary, codes binary")
+    both = planes.select("case_id", "label", F.expr("1 - side AS side"), "z", "y", "sz", "x0", "plane", none("xs", "binary"), none("codes", "binary")).unionByName(
+        cells.select(*SURFACE, "z", "y", none("sz", "double"), none("x0", "int"), none("plane", "binary"), "xs", "codes")
+    )
+    met = both.repartition(*_LINE).sortWithinPartitions(*_LINE).mapInArrow(_columns, f"{kinds}, code int, d2 double, n bigint")
+    return met.groupBy(*SURFACE, "code", "d2").agg(F.sum("n").alias("n"))
 
 
 def weighted_distances(gt: DataFrame, pred: DataFrame, meta: DataFrame) -> DataFrame:

@@ -10,6 +10,10 @@ from test_queries import plain
 from workload.every_prompt import NAMES
 from workload.queries import QUERIES, oracles
 
+FILTERING = [
+    "keep_prompt_component", "keep_prompt_tube_component", "keep_prompt_box_component", "keep_prompt_hybrid_component", "remove_small_islands", "component_prompt_overlap", "component_audit",
+    "merge_kept_prompts",
+]
 PROMPT = "case_id bigint, prompt int, ax double, ay double, az double, bx double, by double, bz double, slice int, nz int, ny int, nx int"
 
 
@@ -28,7 +32,7 @@ def duck(few):
     return con
 
 
-@pytest.mark.parametrize("name", [*[f"{n}_every_prompt" for n in NAMES], "merge_kept_prompts"])
+@pytest.mark.parametrize("name", [*[f"{n}_every_prompt" for n in NAMES], *FILTERING])
 def test_query_matches_sql(spark, duck, few, name):
     df = QUERIES[name](spark, few)
     result = duck.execute(oracles()[name])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from voxtally.operators.components import binary_component_runs, component_stats
 from voxtally.operators.overlap import paired
 from voxtally.operators.prompts import tube_region
 from voxtally.operators.targets import midpoints
+from voxtally.session import cut_lineage
 
 # Overlaps that rank components, in order, by mode.
 RANKED_BY = {
@@ -19,49 +22,71 @@ RANKED_BY = {
     "prompt_hybrid_component": ["tube_overlap", "box_overlap"],
 }
 COMPONENT = ["case_id", "component_id"]
+CASE = ("case_id",)
 AXES = "zyx"
 
 
-def region_overlap(component_runs: DataFrame, region: DataFrame, name: str) -> DataFrame:
-    """Voxels each component shares with a region ``(case_id, z, y, x)``, counted run against run."""
-    other = mask_runs(region, ("case_id",)).selectExpr("case_id", "z", "y", "x0 AS r0", "x1 AS r1")
-    met = component_runs.join(other, ["case_id", "z", "y"]).where("r0 <= x1 AND x0 <= r1")
-    return met.groupBy(*COMPONENT).agg(F.sum(F.expr("cast(least(r1, x1) - greatest(r0, x0) + 1 AS bigint)")).alias(name))
+def region_runs(region: DataFrame, keys: tuple[str, ...] = CASE) -> DataFrame:
+    """Runs ``(keys.., z, y, r0, r1)`` of a region's voxels."""
+    return mask_runs(region, keys).selectExpr(*keys, "z", "y", "x0 AS r0", "x1 AS r1")
 
 
-def box_overlap(component_runs: DataFrame, boxes: DataFrame) -> DataFrame:
-    inside = component_runs.join(boxes, "case_id").where(
-        "z >= box_z0 AND z < box_z1 AND y >= box_y0 AND y < box_y1 AND x1 >= box_x0 AND x0 < box_x1"
-    )
-    return inside.groupBy(*COMPONENT).agg(
-        F.sum(F.expr("cast(least(x1, box_x1 - 1) - greatest(x0, box_x0) + 1 AS bigint)")).alias("box_overlap")
-    )
+def box_runs(boxes: DataFrame, keys: tuple[str, ...] = CASE) -> DataFrame:
+    """Lines of half-open boxes as runs."""
+    lines = boxes.where(" AND ".join(f"box_{a}0 < box_{a}1" for a in AXES)).selectExpr("*", "explode(sequence(box_z0, box_z1 - 1)) AS z")
+    return lines.selectExpr("*", "explode(sequence(box_y0, box_y1 - 1)) AS y").selectExpr(*keys, "z", "y", "box_x0 AS r0", "box_x1 - 1 AS r1")
+
+
+def run_overlaps(component_runs: DataFrame, regions: dict[str, DataFrame], keys: tuple[str, ...] = CASE) -> DataFrame:
+    """Voxels that components share with regions, ``(keys.., component_id, <name>..)``; a row for each pair that shares any.
+
+    Regions are runs; they meet a case's component runs, labelled once, on the line, whatever number of prompts have regions there.
+    """
+    shared = "cast(least(r1, x1) - greatest(r0, x0) + 1 AS bigint)"
+    parts = []
+    for name, region in regions.items():
+        met = component_runs.join(region, ["case_id", "z", "y"]).where("r0 <= x1 AND x0 <= r1")
+        parts.append(met.selectExpr(*keys, "component_id", *[f"{shared if n == name else '0L'} AS {n}" for n in regions]))
+    return reduce(DataFrame.unionByName, parts).groupBy(*keys, "component_id").agg(*[F.sum(n).alias(n) for n in regions])
+
+
+def _prompt_regions(
+    region: DataFrame, prompts: DataFrame, prompt_mode: str, tube_radius: int, tube_z: int, box_margin_zyx: tuple[int, int, int], overlaps: tuple[str, ...], keys: tuple[str, ...]
+) -> dict[str, DataFrame]:
+    ends = effective_endpoints(prompts, prompt_mode).where("ax IS NOT NULL")
+    builders = {
+        "prompt_overlap": lambda: region_runs(region, keys),
+        "tube_overlap": lambda: region_runs(tube_region(prompts, tube_radius, tube_z, prompt_mode, keys), keys),
+        "box_overlap": lambda: box_runs(endpoint_box(ends, box_margin_zyx), keys),
+    }
+    return {name: builders[name]() for name in overlaps}
+
+
+def _components(runs: DataFrame, prompts: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """Components, once for every prompt of their case where prompts are part of the key."""
+    found = component_stats(runs).select(*COMPONENT, "voxel_count", "cz", "cy", "cx")
+    return found if tuple(keys) == CASE else found.join(prompts.select(*keys).distinct(), "case_id")
 
 
 def component_prompt_overlap(
     runs: DataFrame, region: DataFrame, prompts: DataFrame, prompt_mode: str = "full",
     tube_radius: int = 6, tube_z: int = 1, box_margin_zyx: tuple[int, int, int] = (1, 8, 8),
-    overlaps: tuple[str, ...] = ("prompt_overlap", "tube_overlap", "box_overlap"),
+    overlaps: tuple[str, ...] = ("prompt_overlap", "tube_overlap", "box_overlap"), keys: tuple[str, ...] = CASE,
 ) -> DataFrame:
-    """Size, centroid and the wanted overlaps of every component of ``binary_component_runs``."""
-    ends = effective_endpoints(prompts, prompt_mode)
-    found = component_stats(runs).select(*COMPONENT, "voxel_count", "cz", "cy", "cx")
-    if "prompt_overlap" in overlaps:
-        found = found.join(region_overlap(runs, region, "prompt_overlap"), COMPONENT, "left")
-    if "tube_overlap" in overlaps:
-        tube = tube_region(prompts, tube_radius, tube_z, prompt_mode)
-        found = found.join(region_overlap(runs, tube, "tube_overlap"), COMPONENT, "left")
-    if "box_overlap" in overlaps:
-        boxes = endpoint_box(ends.where("ax IS NOT NULL"), box_margin_zyx).select("case_id", *[f"box_{a}{i}" for a in AXES for i in (0, 1)])
-        found = found.join(box_overlap(runs, boxes), COMPONENT, "left")
-    return found.fillna(0, list(overlaps))
+    """Size, centroid and the wanted overlaps of every component of ``binary_component_runs``, for every prompt of its case.
+
+    ``keys`` name a prompt: the case, or the case and ``prompt``.
+    """
+    shares = run_overlaps(runs, _prompt_regions(region, prompts, prompt_mode, tube_radius, tube_z, box_margin_zyx, overlaps, keys), keys)
+    return _components(runs, prompts, keys).join(shares, [*keys, "component_id"], "left").fillna(0, list(overlaps))
 
 
-def component_audit(runs: DataFrame, region: DataFrame) -> DataFrame:
-    """Components of each case, largest first, with their prompt overlap."""
-    found = component_stats(runs).select(*COMPONENT, F.col("voxel_count").alias("size"))
-    joined = found.join(region_overlap(runs, region, "prompt_overlap"), COMPONENT, "left").fillna(0, ["prompt_overlap"])
-    return joined.orderBy("case_id", F.desc("size"), "component_id")
+def component_audit(runs: DataFrame, region: DataFrame, prompts: DataFrame | None = None, keys: tuple[str, ...] = CASE) -> DataFrame:
+    """Components of each case, largest first, with their prompt overlap; for every row of ``prompts`` (the region's own unless given)."""
+    found = _components(runs, region if prompts is None else prompts, keys).select(*keys, "component_id", F.col("voxel_count").alias("size"))
+    shares = run_overlaps(runs, {"prompt_overlap": region_runs(region, keys)}, keys)
+    joined = found.join(shares, [*keys, "component_id"], "left").fillna(0, ["prompt_overlap"])
+    return joined.orderBy(*keys, F.desc("size"), "component_id")
 
 
 def _distance(prefix: str) -> Column:
@@ -72,23 +97,29 @@ def _distance(prefix: str) -> Column:
 def select_prompt_component(
     runs: DataFrame, region: DataFrame, prompts: DataFrame, mode: str = "prompt_component", prompt_mode: str = "full",
     tube_radius: int = 6, tube_z: int = 1, box_margin_zyx: tuple[int, int, int] = (1, 8, 8),
-    min_voxels: int = 0, min_fraction: float = 0.0,
+    min_voxels: int = 0, min_fraction: float = 0.0, keys: tuple[str, ...] = CASE,
 ) -> DataFrame:
-    """Components to keep per case, as ``(case_id, component_id)``.
+    """Components to keep for each prompt, as ``(keys.., component_id)``; ``keys`` are the case, or the case and ``prompt``.
 
     The plain mode takes the component with most prompt voxels (the first on ties) or, when none has any, the one whose
     centroid is nearest to the centre of the prompt's voxels; without prompt voxels everything stays. Other modes,
     and any mode with island removal, rank by overlap, then nearness to the endpoints' midpoint, size and lowest id.
     Island removal also keeps others of at least max(min_voxels, ceil(min_fraction * selected)) voxels. A case with
     one component keeps it.
+
+    Components that share voxels with a prompt come before all others, so only prompts that meet none are ranked against all of their case.
     """
     if mode not in RANKED_BY:
         raise ValueError(f"unknown mode {mode!r}")
-    cleanup = min_voxels > 0 or min_fraction > 0
+    keys, cleanup = list(keys), min_voxels > 0 or min_fraction > 0
     overlaps = tuple(RANKED_BY[mode])
-    comps = component_prompt_overlap(runs, region, prompts, prompt_mode, tube_radius, tube_z, box_margin_zyx, overlaps)
-    centres = midpoints(effective_endpoints(prompts, prompt_mode), region)
-    joined = comps.join(centres, "case_id", "left").fillna(0, ["region_voxels"])
+    sizes = cut_lineage(component_stats(runs).select(*COMPONENT, "voxel_count", "cz", "cy", "cx"))
+    shares = cut_lineage(run_overlaps(runs, _prompt_regions(region, prompts, prompt_mode, tube_radius, tube_z, box_margin_zyx, overlaps, tuple(keys)), tuple(keys)))
+    counts = sizes.groupBy("case_id").agg(F.count(F.lit(1)).alias("components"))
+    centres = midpoints(effective_endpoints(prompts, prompt_mode), region, tuple(keys))
+    asked = counts.join(centres, "case_id", "left" if keys == ["case_id"] else "inner").fillna(0, ["region_voxels"])
+    missed = asked.join(shares.select(*keys).distinct(), keys, "left_anti").select(*keys).join(sizes, "case_id")
+    near = shares.join(sizes, COMPONENT).unionByName(missed.withColumns({n: F.lit(0).cast("bigint") for n in overlaps})).join(asked, keys)
     plain = mode == "prompt_component" and not cleanup
     if plain:
         nearness = F.when(F.col("prompt_overlap") > 0, F.lit(0.0)).otherwise(-_distance("r"))
@@ -96,24 +127,25 @@ def select_prompt_component(
     else:
         nearness = -F.coalesce(_distance("m"), F.col("component_id").cast("double"))
         order = F.struct(*overlaps, nearness, "voxel_count", -F.col("component_id"))
-    best = joined.groupBy("case_id").agg(
+    best = near.groupBy(*keys).agg(
         F.max_by("component_id", order).alias("chosen"), F.max_by("voxel_count", order).alias("chosen_size"),
-        F.max(F.greatest(*overlaps, F.lit(0))).alias("most"), F.count(F.lit(1)).alias("components"), F.max("region_voxels").alias("region_voxels"),
+        F.max(F.greatest(*overlaps, F.lit(0))).alias("most"), F.max("components").alias("components"), F.max("region_voxels").alias("region_voxels"),
     )
     blind = (F.col("region_voxels") == 0) & (F.col("most") == 0) if mode == "prompt_component" else F.lit(False)
-    all_stay = (F.col("components") <= 1) | blind
-    keep = all_stay | (F.col("component_id") == F.col("chosen"))
+    best = best.withColumn("all_stay", (F.col("components") <= 1) | blind)
+    also = F.col("all_stay")
     if cleanup:
         floor = F.greatest(F.lit(int(min_voxels)), F.ceil(F.lit(float(min_fraction)) * F.col("chosen_size")))
-        keep = keep | (F.col("voxel_count") >= floor)
-    return comps.join(best, "case_id").where(keep).select(*COMPONENT)
+        also = also | (F.col("voxel_count") >= floor)
+    others = (best if cleanup else best.where("all_stay")).join(sizes.select(*COMPONENT, "voxel_count"), "case_id").where(also & (F.col("component_id") != F.col("chosen")))
+    return best.select(*keys, F.col("chosen").alias("component_id")).unionByName(others.select(*keys, "component_id"))
 
 
-def keep_prompt_component(mask: DataFrame, region: DataFrame, prompts: DataFrame, **options) -> DataFrame:
-    """Voxels of the kept components; options as in :func:`select_prompt_component`."""
+def keep_prompt_component(mask: DataFrame, region: DataFrame, prompts: DataFrame, keys: tuple[str, ...] = CASE, **options) -> DataFrame:
+    """Voxels of the kept components for each prompt; options as in :func:`select_prompt_component`. A case's components are labelled once."""
     runs = binary_component_runs(mask)
-    kept = select_prompt_component(runs, region, prompts, **options)
-    return runs_to_voxels(runs.join(kept, COMPONENT, "left_semi")).select("case_id", "z", "y", "x")
+    kept = select_prompt_component(runs, region, prompts, keys=keys, **options)
+    return runs_to_voxels(runs.join(kept, COMPONENT)).select(*keys, "z", "y", "x")
 
 
 def merge_prompt_masks(masks: DataFrame) -> DataFrame:

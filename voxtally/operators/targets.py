@@ -173,13 +173,13 @@ def endpoint_records(sets: DataFrame) -> DataFrame:
     )
 
 
-def midpoints(prompts: DataFrame, region: DataFrame | None = None) -> DataFrame:
-    """Centre of each case's prompt: mean of its endpoints, else of its region's voxels."""
-    points = prompts.select("case_id", *[midpoint(axis).alias(f"m{axis}") for axis in "zyx"])
+def midpoints(prompts: DataFrame, region: DataFrame | None = None, keys: tuple[str, ...] = ("case_id",)) -> DataFrame:
+    """Centre of each prompt: mean of its endpoints, else of its region's voxels."""
+    points = prompts.select(*keys, *[midpoint(axis).alias(f"m{axis}") for axis in "zyx"])
     if region is None:
         return points
-    means = region.groupBy("case_id").agg(*[F.avg(axis).alias(f"r{axis}") for axis in "zyx"], F.count(F.lit(1)).alias("region_voxels"))
-    return points.join(means, "case_id", "full").select(
-        "case_id", *[F.coalesce(f"m{axis}", f"r{axis}").alias(f"m{axis}") for axis in "zyx"],
+    means = region.groupBy(*keys).agg(*[F.avg(axis).alias(f"r{axis}") for axis in "zyx"], F.count(F.lit(1)).alias("region_voxels"))
+    return points.join(means, list(keys), "full").select(
+        *keys, *[F.coalesce(f"m{axis}", f"r{axis}").alias(f"m{axis}") for axis in "zyx"],
         *[F.col(f"r{axis}") for axis in "zyx"], F.coalesce("region_voxels", F.lit(0)).alias("region_voxels"),
     )

@@ -1,11 +1,8 @@
-"""The queries of ``case_prompts`` over every prompt of every case, keyed by (case_id, prompt)."""
+"""Queries of ``case_prompts`` over every prompt of every case, keyed by (case_id, prompt); the filtering queries read all prompts under their own names."""
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from voxtally.operators import prompts as pr
-from voxtally.operators import select as sel
 from workload import dense, masks, pointing  # noqa: F401
 from workload import fixtures as fx
 from workload.oracle_parts import PARTS, sql
@@ -13,8 +10,7 @@ from workload.registry import _ORACLES, QUERIES, query
 
 NAMES = [
     "prompt_label_dice", "select_manifest_target", "rasterize_tube", "endpoint_gaussian", "prompt_region", "prompt_region_wrong", "prompt_channels", "endpoint_box",
-    "keep_prompt_component", "keep_prompt_tube_component", "keep_prompt_box_component", "keep_prompt_hybrid_component", "remove_small_islands",
-    "component_prompt_overlap", "component_audit", "border_change", "crop_window", "restore_crop", "crop_endpoints", "needs_bbox_tail", "multifov_windows", "multifov_crop",
+    "border_change", "crop_window", "restore_crop", "crop_endpoints", "needs_bbox_tail", "multifov_windows", "multifov_crop",
     "bbox_fit_mask", "bbox_fit_crop",
 ]
 # Key of a prompt in the twins; case_id % 3, which sets a case's spacing, stays what it is.
@@ -44,10 +40,3 @@ def _every_prompt(name: str):
 
 for _name in NAMES:
     query(f"{_name}_every_prompt", [], twin(_name))(_every_prompt(_name))
-
-
-@query("merge_kept_prompts", [], f"""SELECT case_id, z, y, x, label, prompt FROM (SELECT *, 1 + (case_id * 10 + prompt) % 3 AS label,
-  row_number() OVER (PARTITION BY case_id, z, y, x ORDER BY prompt) AS rn FROM ({twin("keep_prompt_component")})) WHERE rn = 1""")
-def merge_kept_prompts(spark, d):
-    kept = QUERIES["keep_prompt_component_every_prompt"](spark, d)
-    return sel.merge_prompt_masks(kept.join(fx.prompts(spark, d).select("case_id", "prompt", F.col("label")), ["case_id", "prompt"]))

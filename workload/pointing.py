@@ -238,48 +238,69 @@ def resolve_case_target(spark, d):
 
 # ---- prompt-aware filtering ---------------------------------------------------------------------------------------------
 
+KEYS = ("case_id", "prompt")
+PARTS["tilted"] = (["prompts"], 'SELECT * REPLACE ("by" + prompt % 4 AS "by") FROM prompts')
+line_part("line2_all", "tilted", 2, 0, "case_id, prompt")
+line_part("tube_all", "tilted", 6, 1, "case_id, prompt")
+PARTS["gauss25_all"] = (["tilted"], """SELECT DISTINCT case_id, prompt, CAST(ez + i AS INT) AS z, CAST(ey + j AS INT) AS y, CAST(ex + k AS INT) AS x FROM (
+    SELECT case_id, prompt, az AS ez, ay AS ey, ax AS ex FROM tilted UNION ALL SELECT case_id, prompt, bz, "by", bx FROM tilted),
+  range(-4, 5) a(i), range(-4, 5) b(j), range(-4, 5) c(k) WHERE exp(-(i * i + j * j + k * k) / 8) > 0.25 AND ez + i BETWEEN 0 AND 23 AND ey + j BETWEEN 0 AND 49 AND ex + k BETWEEN 0 AND 49""")
+PARTS["region_all"] = (["line2_all", "gauss25_all"], "SELECT case_id, prompt, z, y, x FROM line2_all UNION SELECT case_id, prompt, z, y, x FROM gauss25_all")
 PARTS["bin_sizes"] = (["bin_comp"], """SELECT case_id, component_id, count(*) AS voxel_count, sum(z) / count(*) AS cz, sum(y) / count(*) AS cy, sum(x) / count(*) AS cx FROM bin_comp GROUP BY 1, 2""")
-PARTS["bin_overlaps"] = (["bin_comp", "region", "tube", "case_prompts"], """SELECT b.case_id, component_id, count(r.z) AS prompt_overlap, count(t.z) AS tube_overlap,
-    count(*) FILTER (b.z BETWEEN az - 1 AND az + 1 AND b.y BETWEEN least(ay, "by") - 8 AND greatest(ay, "by") + 8 AND b.x BETWEEN ax - 8 AND bx + 8) AS box_overlap
-  FROM bin_comp b JOIN case_prompts p USING (case_id) LEFT JOIN region r USING (case_id, z, y, x) LEFT JOIN tube t USING (case_id, z, y, x) GROUP BY 1, 2""")
-PARTS["bin_points"] = (["bin_sizes", "bin_overlaps", "region", "case_prompts"], """SELECT *, round(sqrt(pow(cz - mz, 2) + pow(cy - my, 2) + pow(cx - mx, 2)), 9) AS mid_distance,
-    round(sqrt(pow(cz - rz, 2) + pow(cy - ry, 2) + pow(cx - rx, 2)), 9) AS region_distance, count(*) OVER (PARTITION BY case_id) AS components
-  FROM bin_sizes JOIN bin_overlaps USING (case_id, component_id) JOIN (SELECT case_id, (az + bz) / 2 AS mz, (ay + "by") / 2 AS my, (ax + bx) / 2 AS mx FROM case_prompts) USING (case_id)
-  JOIN (SELECT case_id, avg(z) AS rz, avg(y) AS ry, avg(x) AS rx FROM region GROUP BY 1) USING (case_id)""")
-_KEPT = """SELECT b.case_id, z, y, x FROM bin_comp b JOIN (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY {order}) AS rn,
-  first_value(voxel_count) OVER (PARTITION BY case_id ORDER BY {order}) AS chosen_size FROM bin_points) k USING (case_id, component_id)
-  WHERE components <= 1 OR rn = 1 {extra}"""
+PARTS["bin_shares"] = (["bin_comp", "region_all", "tube_all", "tilted"], """SELECT case_id, prompt, component_id, sum(r) AS prompt_overlap, sum(t) AS tube_overlap, sum(b) AS box_overlap FROM (
+    SELECT case_id, prompt, component_id, 1 AS r, 0 AS t, 0 AS b FROM bin_comp JOIN region_all USING (case_id, z, y, x) UNION ALL
+    SELECT case_id, prompt, component_id, 0, 1, 0 FROM bin_comp JOIN tube_all USING (case_id, z, y, x) UNION ALL
+    SELECT v.case_id, prompt, component_id, 0, 0, 1 FROM bin_comp v JOIN tilted p ON v.case_id = p.case_id AND v.z BETWEEN az - 1 AND az + 1
+      AND v.y BETWEEN least(ay, "by") - 8 AND greatest(ay, "by") + 8 AND v.x BETWEEN ax - 8 AND bx + 8) GROUP BY 1, 2, 3""")
+PARTS["bin_overlaps"] = (["bin_sizes", "bin_shares", "tilted"], """SELECT s.*, p.prompt, coalesce(prompt_overlap, 0) AS prompt_overlap, coalesce(tube_overlap, 0) AS tube_overlap, coalesce(box_overlap, 0) AS box_overlap
+  FROM bin_sizes s JOIN tilted p USING (case_id) LEFT JOIN bin_shares b ON b.case_id = s.case_id AND b.prompt = p.prompt AND b.component_id = s.component_id""")
+PARTS["bin_points"] = (["bin_overlaps", "region_all", "tilted"], """SELECT *, round(sqrt(pow(cz - mz, 2) + pow(cy - my, 2) + pow(cx - mx, 2)), 9) AS mid_distance,
+    round(sqrt(pow(cz - rz, 2) + pow(cy - ry, 2) + pow(cx - rx, 2)), 9) AS region_distance, count(*) OVER (PARTITION BY case_id, prompt) AS components
+  FROM bin_overlaps JOIN (SELECT case_id, prompt, (az + bz) / 2 AS mz, (ay + "by") / 2 AS my, (ax + bx) / 2 AS mx FROM tilted) USING (case_id, prompt)
+  JOIN (SELECT case_id, prompt, avg(z) AS rz, avg(y) AS ry, avg(x) AS rx FROM region_all GROUP BY 1, 2) USING (case_id, prompt)""")
+_KEPT = """SELECT b.case_id, k.prompt, z, y, x FROM bin_comp b JOIN (SELECT case_id, prompt, component_id FROM (SELECT *, row_number() OVER (PARTITION BY case_id, prompt ORDER BY {order}) AS rn,
+  first_value(voxel_count) OVER (PARTITION BY case_id, prompt ORDER BY {order}) AS chosen_size FROM bin_points) WHERE components <= 1 OR rn = 1 {extra}) k USING (case_id, component_id)"""
 _MODES = {
     "prompt_component": "prompt_overlap DESC, CASE WHEN prompt_overlap > 0 THEN 0 ELSE region_distance END, component_id",
     "prompt_tube_component": "tube_overlap DESC, mid_distance, voxel_count DESC, component_id",
     "prompt_box_component": "box_overlap DESC, mid_distance, voxel_count DESC, component_id",
     "prompt_hybrid_component": "tube_overlap DESC, box_overlap DESC, mid_distance, voxel_count DESC, component_id",
 }
+
+
+def _kept(spark, d, **options):
+    prompts = fx.tilted_prompts(spark, d)
+    return sel.keep_prompt_component(fx.pred(spark, d), pr.prompt_region(prompts, keys=KEYS), prompts, keys=KEYS, **options)
+
+
 for _mode, _order in _MODES.items():
-    query(f"keep_{_mode}", ["bin_comp", "bin_points"], _KEPT.format(order=_order, extra=""))(
-        lambda spark, d, _mode=_mode: sel.keep_prompt_component(
-            fx.pred(spark, d), pr.prompt_region(fx.case_prompts(spark, d)), fx.case_prompts(spark, d), mode=_mode)
-    )
+    query(f"keep_{_mode}", ["bin_comp", "bin_points"], _KEPT.format(order=_order, extra=""))(lambda spark, d, _mode=_mode: _kept(spark, d, mode=_mode))
 
 
 @query("remove_small_islands", ["bin_comp", "bin_points"], _KEPT.format(
     order="prompt_overlap DESC, mid_distance, voxel_count DESC, component_id", extra="OR voxel_count >= greatest(20, ceil(0.4 * chosen_size))"))
 def remove_small_islands(spark, d):
-    prompts = fx.case_prompts(spark, d)
-    return sel.keep_prompt_component(fx.pred(spark, d), pr.prompt_region(prompts), prompts, min_voxels=20, min_fraction=0.4)
+    return _kept(spark, d, min_voxels=20, min_fraction=0.4)
 
 
-@query("component_prompt_overlap", ["bin_sizes", "bin_overlaps"], """SELECT case_id, component_id, voxel_count, round(cz, 6) AS cz, round(cy, 6) AS cy, round(cx, 6) AS cx,
-  prompt_overlap, tube_overlap, box_overlap FROM bin_sizes JOIN bin_overlaps USING (case_id, component_id)""")
+@query("component_prompt_overlap", ["bin_overlaps"], """SELECT case_id, prompt, component_id, voxel_count, round(cz, 6) AS cz, round(cy, 6) AS cy, round(cx, 6) AS cx,
+  prompt_overlap, tube_overlap, box_overlap FROM bin_overlaps""")
 def component_prompt_overlap(spark, d):
-    prompts = fx.case_prompts(spark, d)
-    return rounded(sel.component_prompt_overlap(cc.binary_component_runs(fx.pred(spark, d)), pr.prompt_region(prompts), prompts))
+    prompts = fx.tilted_prompts(spark, d)
+    return rounded(sel.component_prompt_overlap(cc.binary_component_runs(fx.pred(spark, d)), pr.prompt_region(prompts, keys=KEYS), prompts, keys=KEYS))
 
 
-@query("component_audit", ["bin_sizes", "bin_overlaps"], """SELECT case_id, component_id, voxel_count AS size, prompt_overlap FROM bin_sizes JOIN bin_overlaps USING (case_id, component_id)
-  ORDER BY case_id, size DESC, component_id""")
+@query("component_audit", ["bin_overlaps"], "SELECT case_id, prompt, component_id, voxel_count AS size, prompt_overlap FROM bin_overlaps ORDER BY case_id, prompt, size DESC, component_id")
 def component_audit(spark, d):
-    return sel.component_audit(cc.binary_component_runs(fx.pred(spark, d)), pr.prompt_region(fx.case_prompts(spark, d)))
+    prompts = fx.tilted_prompts(spark, d)
+    return sel.component_audit(cc.binary_component_runs(fx.pred(spark, d)), pr.prompt_region(prompts, keys=KEYS), prompts, KEYS)
+
+
+@query("merge_kept_prompts", ["bin_comp", "bin_points"], f"""SELECT case_id, z, y, x, label, prompt FROM (SELECT *, 1 + (case_id * 10 + prompt) % 3 AS label,
+  row_number() OVER (PARTITION BY case_id, z, y, x ORDER BY prompt) AS rn FROM ({_KEPT.format(order=_MODES["prompt_component"], extra="")})) WHERE rn = 1""")
+def merge_kept_prompts(spark, d):
+    kept = _kept(spark, d, mode="prompt_component")
+    return sel.merge_prompt_masks(kept.join(fx.prompts(spark, d).select("case_id", "prompt", "label"), ["case_id", "prompt"]))
 
 
 def _prompt_masks(spark, d):

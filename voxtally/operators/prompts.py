@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxtally.functions.geometry import ENDS, clip_to_frame, effective_endpoints, shift_to_wrong_place
@@ -40,24 +40,28 @@ def split_prompt_key(rows: DataFrame, prompts: DataFrame) -> DataFrame:
     return rows.withColumns({c: part.cast(kinds[c]) for c, part in parts.items()})
 
 
-def rasterize_line(prompts: DataFrame, radius: int = 2, z_thickness: int = 0, keys: tuple[str, ...] = ("case_id",)) -> DataFrame:
-    """Voxels of a line between the clipped endpoints, in the slice of their rounded mean z.
+def line_points(prompts: DataFrame, keys: tuple[str, ...] = ("case_id",)) -> DataFrame:
+    """Points ``(keys.., nz, ny, nx, cz, py, px)`` of a line between the clipped endpoints, in the slice of their rounded mean z, in steps of half a voxel.
 
-    Steps of half a voxel, each a disk of ``radius`` in the plane, repeated ``z_thickness`` slices up and down. Positions
-    are single precision, as the measured tool's, so that halves round alike.
+    Positions are single precision, as the measured tool's, so that halves round alike.
     """
-    radius, thick = int(radius), int(z_thickness)
     line = clip_to_frame(prompts).selectExpr(
         *keys, "nz", "ny", "nx", "cast(rint((az + bz) / 2) AS int) AS cz",
         "cast(ay AS float) AS ya", "cast(ax AS float) AS xa", "cast(by - ay AS float) AS dy", "cast(bx - ax AS float) AS dx",
         "greatest(cast(ceil(2 * sqrt(pow(bx - ax, 2) + pow(by - ay, 2))) AS int), 1) AS steps",
     )
-    points = line.selectExpr("*", "explode(sequence(0, steps)) AS i").selectExpr(
+    return line.selectExpr("*", "explode(sequence(0, steps)) AS i").selectExpr(
         *keys, "nz", "ny", "nx", "cz", "cast(i * (1D / steps) AS float) AS t", "ya", "xa", "dy", "dx"
     ).selectExpr(
         *keys, "nz", "ny", "nx", "cz", "cast(rint(cast(ya + cast(t * dy AS float) AS double)) AS int) AS py",
         "cast(rint(cast(xa + cast(t * dx AS float) AS double)) AS int) AS px",
     ).distinct()
+
+
+def rasterize_line(prompts: DataFrame, radius: int = 2, z_thickness: int = 0, keys: tuple[str, ...] = ("case_id",)) -> DataFrame:
+    """Voxels of a line: at each of its points a disk of ``radius`` in the plane, repeated ``z_thickness`` slices up and down."""
+    radius, thick = int(radius), int(z_thickness)
+    points = line_points(prompts, keys)
     disk = [(j, k) for j in range(-radius, radius + 1) for k in range(-radius, radius + 1) if j * j + k * k <= radius * radius]
     offsets = ", ".join(f"named_struct('i', {i}, 'j', {j}, 'k', {k})" for i in range(-thick, thick + 1) for j, k in disk)
     return (
@@ -131,6 +135,53 @@ def prompt_channels(lines: DataFrame, prompts: DataFrame, sigma: float = 2.0, mo
     )
 
 
+def merge_runs(runs: DataFrame, keys: tuple[str, ...] = ("case_id",)) -> DataFrame:
+    """Disjoint runs ``(keys.., z, y, x0, x1)`` that cover the same voxels; overlapping and touching ones become one."""
+    line = Window.partitionBy(*keys, "z", "y").orderBy("x0", "x1")
+    reach = F.max("x1").over(line.rowsBetween(Window.unboundedPreceding, -1))
+    opened = runs.withColumn("opens", F.coalesce((F.col("x0") > reach + 1).cast("int"), F.lit(1)))
+    return opened.withColumn("island", F.sum("opens").over(line)).groupBy(*keys, "z", "y", "island").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1")).drop("island")
+
+
+def line_runs(prompts: DataFrame, radius: int = 2, z_thickness: int = 0, keys: tuple[str, ...] = ("case_id",)) -> DataFrame:
+    """The voxels of :func:`rasterize_line` as runs that may overlap: a line of the disk at each step."""
+    radius, thick = int(radius), int(z_thickness)
+    chords = ", ".join(f"named_struct('i', {i}, 'j', {j}, 'h', {math.isqrt(radius * radius - j * j)})" for i in range(-thick, thick + 1) for j in range(-radius, radius + 1))
+    return line_points(prompts, keys).selectExpr("*", f"inline(array({chords}))").selectExpr(
+        *keys, "nz", "ny", "cz + i AS z", "py + j AS y", "greatest(px - h, 0) AS x0", "least(px + h, nx - 1) AS x1"
+    ).where("z >= 0 AND z < nz AND y >= 0 AND y < ny AND x0 <= x1").select(*keys, "z", "y", "x0", "x1")
+
+
+def gaussian_runs(prompts: DataFrame, sigma: float, level: float, keys: tuple[str, ...] = ("case_id",)) -> DataFrame:
+    """The voxels of :func:`gaussian_support` as runs that may overlap: on each line around an endpoint, those nearer than the level's radius."""
+    room = 2.0 * max(float(sigma) ** 2, 1e-6) * math.log(1.0 / level)
+    reach = math.ceil(math.sqrt(room))
+    ends = clip_to_frame(prompts).selectExpr(*keys, "nz", "ny", "nx", "inline(array(named_struct('ez', az, 'ey', ay, 'ex', ax), named_struct('ez', bz, 'ey', by, 'ex', bx)))")
+    for axis in "zy":
+        low, high = f"greatest(0, cast(floor(e{axis}) AS int) - {reach})", f"least(n{axis} - 1, cast(ceil(e{axis}) AS int) + {reach})"
+        ends = ends.selectExpr("*", f"explode(sequence({low}, {high})) AS {axis}")
+    left = ends.withColumn("rest", F.expr(f"{room!r}D - pow(z - ez, 2) - pow(y - ey, 2)")).where("rest > 0")
+    # the level itself is outside: a voxel at exactly its distance does not belong
+    runs = left.selectExpr(*keys, "nx", "z", "y", "cast(floor(ex - sqrt(rest)) AS int) + 1 AS x0", "cast(ceil(ex + sqrt(rest)) AS int) - 1 AS x1")
+    return runs.selectExpr(*keys, "z", "y", "greatest(x0, 0) AS x0", "least(x1, nx - 1) AS x1").where("x0 <= x1")
+
+
+def prompt_region_runs(prompts: DataFrame, sigma: float = 2.0, mode: str = "full", keys: tuple[str, ...] = ("case_id",)) -> DataFrame:
+    """:func:`prompt_region` as disjoint runs, never spelled out as voxels."""
+    if mode not in PROMPT_MODES:
+        raise ValueError(f"unknown prompt mode {mode!r}")
+    prompts = shift_to_wrong_place(prompts) if mode == "wrong_prompt" else prompts
+    line, gauss = line_runs(prompts, keys=keys), gaussian_runs(prompts, sigma, REGION_LEVEL, keys)
+    chosen = {"no_prompt": line.where("false"), "line_only": line, "endpoint_only": gauss}.get(mode)
+    return merge_runs(line.unionByName(gauss) if chosen is None else chosen, keys)
+
+
+def tube_runs(prompts: DataFrame, radius: int = 6, z_thickness: int = 1, prompt_mode: str = "full", keys: tuple[str, ...] = ("case_id",)) -> DataFrame:
+    """:func:`tube_region` as disjoint runs."""
+    ends = effective_endpoints(prompts, prompt_mode)
+    return merge_runs(line_runs(ends.where("ax IS NOT NULL"), max(radius, 0), max(z_thickness, 0), keys), keys)
+
+
 def tube_region(prompts: DataFrame, radius: int = 6, z_thickness: int = 1, prompt_mode: str = "full", keys: tuple[str, ...] = ("case_id",)) -> DataFrame:
     """A thick line over several slices; empty without endpoints."""
     ends = effective_endpoints(prompts, prompt_mode)

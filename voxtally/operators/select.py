@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from voxtally.functions.geometry import DIM, effective_endpoints, endpoint_box, window_start
 from voxtally.operators.components import binary_component_runs, component_stats, mask_runs, runs_to_voxels
 from voxtally.operators.overlap import paired
-from voxtally.operators.prompts import tube_region
+from voxtally.operators.prompts import tube_runs
 from voxtally.operators.targets import midpoints
 from voxtally.session import cut_lineage
 
@@ -27,8 +27,9 @@ AXES = "zyx"
 
 
 def region_runs(region: DataFrame, keys: tuple[str, ...] = CASE) -> DataFrame:
-    """Runs ``(keys.., z, y, r0, r1)`` of a region's voxels."""
-    return mask_runs(region, keys).selectExpr(*keys, "z", "y", "x0 AS r0", "x1 AS r1")
+    """Runs ``(keys.., z, y, r0, r1)`` of a region given as voxels or as disjoint runs (``x0, x1``)."""
+    runs = region if "x0" in region.columns else mask_runs(region, keys)
+    return runs.selectExpr(*keys, "z", "y", "x0 AS r0", "x1 AS r1")
 
 
 def box_runs(boxes: DataFrame, keys: tuple[str, ...] = CASE) -> DataFrame:
@@ -56,7 +57,7 @@ def _prompt_regions(
     ends = effective_endpoints(prompts, prompt_mode).where("ax IS NOT NULL")
     builders = {
         "prompt_overlap": lambda: region_runs(region, keys),
-        "tube_overlap": lambda: region_runs(tube_region(prompts, tube_radius, tube_z, prompt_mode, keys), keys),
+        "tube_overlap": lambda: region_runs(tube_runs(prompts, tube_radius, tube_z, prompt_mode, keys), keys),
         "box_overlap": lambda: box_runs(endpoint_box(ends, box_margin_zyx), keys),
     }
     return {name: builders[name]() for name in overlaps}

@@ -174,11 +174,13 @@ def endpoint_records(sets: DataFrame) -> DataFrame:
 
 
 def midpoints(prompts: DataFrame, region: DataFrame | None = None, keys: tuple[str, ...] = ("case_id",)) -> DataFrame:
-    """Centre of each prompt: mean of its endpoints, else of its region's voxels."""
+    """Centre of each prompt: mean of its endpoints, else of its region's voxels, which come as such or as runs."""
     points = prompts.select(*keys, *[midpoint(axis).alias(f"m{axis}") for axis in "zyx"])
     if region is None:
         return points
-    means = region.groupBy(*keys).agg(*[F.avg(axis).alias(f"r{axis}") for axis in "zyx"], F.count(F.lit(1)).alias("region_voxels"))
+    n = F.expr("cast(x1 - x0 + 1 AS bigint)" if "x0" in region.columns else "1L")
+    at = {"z": F.col("z"), "y": F.col("y"), "x": F.expr("(x0 + x1) / 2" if "x0" in region.columns else "x")}
+    means = region.groupBy(*keys).agg(*[(F.sum(at[axis] * n) / F.sum(n)).alias(f"r{axis}") for axis in "zyx"], F.sum(n).alias("region_voxels"))
     return points.join(means, list(keys), "full").select(
         *keys, *[F.coalesce(f"m{axis}", f"r{axis}").alias(f"m{axis}") for axis in "zyx"],
         *[F.col(f"r{axis}") for axis in "zyx"], F.coalesce("region_voxels", F.lit(0)).alias("region_voxels"),

@@ -270,7 +270,7 @@ _MODES = {
 
 def _kept(spark, d, **options):
     prompts = fx.tilted_prompts(spark, d)
-    return sel.keep_prompt_component(fx.pred(spark, d), pr.prompt_region(prompts, keys=KEYS), prompts, keys=KEYS, **options)
+    return sel.keep_prompt_component(fx.pred(spark, d), pr.prompt_region_runs(prompts, keys=KEYS), prompts, keys=KEYS, **options)
 
 
 for _mode, _order in _MODES.items():
@@ -287,13 +287,13 @@ def remove_small_islands(spark, d):
   prompt_overlap, tube_overlap, box_overlap FROM bin_overlaps""")
 def component_prompt_overlap(spark, d):
     prompts = fx.tilted_prompts(spark, d)
-    return rounded(sel.component_prompt_overlap(cc.binary_component_runs(fx.pred(spark, d)), pr.prompt_region(prompts, keys=KEYS), prompts, keys=KEYS))
+    return rounded(sel.component_prompt_overlap(cc.binary_component_runs(fx.pred(spark, d)), pr.prompt_region_runs(prompts, keys=KEYS), prompts, keys=KEYS))
 
 
 @query("component_audit", ["bin_overlaps"], "SELECT case_id, prompt, component_id, voxel_count AS size, prompt_overlap FROM bin_overlaps ORDER BY case_id, prompt, size DESC, component_id")
 def component_audit(spark, d):
     prompts = fx.tilted_prompts(spark, d)
-    return sel.component_audit(cc.binary_component_runs(fx.pred(spark, d)), pr.prompt_region(prompts, keys=KEYS), prompts, KEYS)
+    return sel.component_audit(cc.binary_component_runs(fx.pred(spark, d)), pr.prompt_region_runs(prompts, keys=KEYS), prompts, KEYS)
 
 
 @query("merge_kept_prompts", ["bin_comp", "bin_points"], f"""SELECT case_id, z, y, x, label, prompt FROM (SELECT *, 1 + (case_id * 10 + prompt) % 3 AS label,

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from voxtally.functions.geometry import ENDS, clip, clip_index, midpoint
 from voxtally.operators.components import runs_to_voxels
 from voxtally.operators.prompts import rasterize_line
+from voxtally.session import cut_lineage
 
 
 def marker_to_target(marker_runs: DataFrame, target_runs: DataFrame) -> DataFrame:
@@ -61,52 +62,78 @@ def _gap2(end: str) -> str:
     return f"pow(z - {end}z, 2) + pow(y - {end}y, 2) + pow({nearest} - {end}x, 2)"
 
 
+def _box_distance(end: str, nearest: bool) -> str:
+    """Distance of an endpoint to the nearest point, or the farthest corner, of a component's box."""
+    gaps = [f"greatest({a}_min - {end}{a}, {end}{a} - {a}_max, 0)" if nearest else f"greatest(abs({end}{a} - {a}_min), abs({end}{a} - {a}_max))" for a in "zyx"]
+    return f"sqrt({' + '.join(f'pow({g}, 2)' for g in gaps)})"
+
+
+def _contenders(placed: DataFrame, hits: DataFrame, boxes: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """Components that can still win a prompt, ``(keys.., label, component_id)`` with the evidence of touching.
+
+    Whoever touches voxels wins over all that don't, so of a prompt's hits only the best by evidence remain. A prompt that touches nothing meets
+    the components of its case as boxes: those that are farther at least than another is at most are out.
+    """
+    evidence = F.struct("endpoint_label_hit", "line_label_hit", "line_overlap", "endpoint_hits")
+    best = hits.groupBy(*keys).agg(F.max(evidence).alias("best"))
+    touching = hits.join(best, list(keys)).where(evidence == F.col("best")).drop("best")
+    blind = placed.join(hits.select(*keys).distinct(), list(keys), "left_anti").join(boxes, "case_id")
+    mean = lambda nearest: F.expr(f"({_box_distance('a', nearest)} + {_box_distance('b', nearest)}) / 2")
+    blind = blind.withColumns({"least": mean(True), "most": mean(False)})
+    roof = blind.groupBy(*keys).agg(F.min("most").alias("roof"))
+    open_ = blind.join(roof, list(keys)).where("least <= roof + 1e-6").select(*keys, "label", "component_id")
+    none = {"line_overlap": F.lit(0).cast("bigint"), "endpoint_hits": F.lit(0).cast("bigint"), "endpoint_label_hit": F.lit(False), "line_label_hit": F.lit(False)}
+    return touching.unionByName(open_.withColumns(none))
+
+
 def select_target_instance(prompts: DataFrame, component_runs: DataFrame, keys: tuple[str, ...] = ("case_id", "prompt")) -> DataFrame:
     """The component each prompt points at, with the evidence.
 
     Order of evidence: its label is met at an endpoint; its label is met on the line; voxels on the line; endpoints
     inside; small mean endpoint distance (in the prompt's slice when the component reaches it); small slice distance;
     size; then lowest label and component. Prompts of cases without a mask do not appear.
+
+    Runs are read for components that can still win only: those in the prompt's slice where a component reaches it, else all of its runs.
     """
     comp = ["label", "component_id"]
     hits = _touched(prompts, component_runs, keys).groupBy(*keys, *comp).agg(
         F.count_if(F.col("kind") == 1).alias("line_overlap"), F.count_if(F.col("kind") == 0).alias("endpoint_hits")
     )
+    hits = cut_lineage(hits)
     label_hits = hits.groupBy(*keys, "label").agg(
         F.max(F.col("endpoint_hits") > 0).alias("endpoint_label_hit"), F.max(F.col("line_overlap") > 0).alias("line_label_hit")
     )
+    boxes = cut_lineage(component_runs.groupBy("case_id", *comp).agg(
+        F.sum(F.expr("cast(x1 - x0 + 1 AS bigint)")).alias("voxel_count"),
+        *[f(c).alias(f"{a}_{n}") for a, low, high in (("z", "z", "z"), ("y", "y", "y"), ("x", "x0", "x1")) for f, c, n in ((F.min, low, "min"), (F.max, high, "max"))],
+    ))
     placed = prompts.select(*keys, *ENDS, clip(F.col("slice"), 0, F.col("nz") - 1).cast("int").alias("slice"))
-    near = placed.join(component_runs, "case_id").selectExpr(
-        *keys, *comp, "slice", "z", "cast(x1 - x0 + 1 AS bigint) AS n", f"{_gap2('a')} AS da", f"{_gap2('b')} AS db"
-    )
-    in_slice = F.col("z") == F.col("slice")
-    candidates = near.groupBy(*keys, *comp, "slice").agg(
-        F.sum("n").alias("voxel_count"), F.min(F.abs(F.col("z") - F.col("slice"))).alias("slice_distance"),
-        F.coalesce(F.min(F.when(in_slice, F.col("da"))), F.min("da")).alias("da"),
-        F.coalesce(F.min(F.when(in_slice, F.col("db"))), F.min("db")).alias("db"),
-    )
-    scored = (
-        candidates.withColumn("endpoint_distance", F.expr("(sqrt(da) + sqrt(db)) / 2"))
-        .join(hits, [*keys, *comp], "left").join(label_hits, [*keys, "label"], "left")
-        .fillna(0, ["line_overlap", "endpoint_hits"]).fillna(False, ["endpoint_label_hit", "line_label_hit"])
-    )
+    contenders = cut_lineage(_contenders(placed, hits.join(label_hits, [*keys, "label"]), boxes, keys))
+    asked = contenders.join(placed, list(keys))
+    gaps = [f"{_gap2('a')} AS da", f"{_gap2('b')} AS db"]
+    inside = asked.join(component_runs.withColumnRenamed("z", "slice"), ["case_id", *comp, "slice"]).withColumn("z", F.col("slice"))
+    near = cut_lineage(inside.selectExpr(*keys, *comp, *gaps).groupBy(*keys, *comp).agg(F.min("da").alias("da"), F.min("db").alias("db"), F.lit(0).alias("slice_distance")))
+    outside = asked.join(near.select(*keys, *comp), [*keys, *comp], "left_anti").join(component_runs, ["case_id", *comp])
+    far = outside.selectExpr(*keys, *comp, *gaps, "abs(z - slice) AS off").groupBy(*keys, *comp).agg(F.min("da").alias("da"), F.min("db").alias("db"), F.min("off").alias("slice_distance"))
+    scored = contenders.join(near.unionByName(far), [*keys, *comp]).join(boxes.select("case_id", *comp, "voxel_count"), ["case_id", *comp])
+    scored = scored.withColumn("endpoint_distance", F.expr("(sqrt(da) + sqrt(db)) / 2"))
     evidence = ["label", "component_id", "voxel_count", "line_overlap", "endpoint_hits", "endpoint_distance", "slice_distance", "endpoint_label_hit", "line_label_hit"]
     order = F.struct(
         "endpoint_label_hit", "line_label_hit", "line_overlap", "endpoint_hits", -F.round("endpoint_distance", 9), -F.col("slice_distance"),
         "voxel_count", -F.col("label"), -F.col("component_id"),
     )
-    best = scored.groupBy(*keys).agg(
-        F.max_by(F.struct(*evidence), order).alias("s"), F.count(F.lit(1)).alias("component_candidate_count"),
-        F.count_distinct("label").alias("positive_label_count"), F.first("slice").alias("slice"),
+    best = scored.groupBy(*keys).agg(F.max_by(F.struct(*evidence), order).alias("s"))
+    labels = boxes.groupBy("case_id", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("case_id").agg(
+        F.sum("n").alias("component_candidate_count"), F.count(F.lit(1)).alias("positive_label_count")
     )
     mode = (
         F.when(F.col("endpoint_label_hit"), "direct_endpoint_label_hit")
         .when(F.expr("line_label_hit OR line_overlap > 0 OR endpoint_hits > 0"), "recist_line_match")
         .otherwise("nearest_component_fallback")
     )
-    return best.select(*keys, "slice", "component_candidate_count", "positive_label_count", "s.*").withColumn(
-        "selection_mode", mode
-    ).withColumn("used_fallback", F.col("selection_mode") == "nearest_component_fallback")
+    return best.join(placed.select(*keys, "slice"), list(keys)).join(labels, "case_id").select(
+        *keys, "slice", "component_candidate_count", "positive_label_count", "s.*"
+    ).withColumn("selection_mode", mode).withColumn("used_fallback", F.col("selection_mode") == "nearest_component_fallback")
 
 
 def resolve_targets(records: DataFrame, prompts: DataFrame, component_runs: DataFrame) -> DataFrame:

@@ -144,7 +144,8 @@ def _sign(batches):
             low = np.ascontiguousarray(signature.reshape(many, -1).astype(np.uint8))
             sketch = pa.array([row.tobytes() for row in low], pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [*part.columns, pa.array(total), pa.array(keys[0]), pa.array(keys[1]), lists, sketch], names=["rid", "doc_id", "text", "n_shingles", "key_a", "key_b", "bands", "sketch"]
+                [*part.columns[:3], pa.array(total), pa.array(keys[0]), pa.array(keys[1]), lists, sketch, *part.columns[3:]],
+                names=["rid", "doc_id", "text", "n_shingles", "key_a", "key_b", "bands", "sketch", *part.schema.names[3:]],
             )
 
 
@@ -295,8 +296,11 @@ def across(placed: DataFrame, signed: DataFrame, similarity: float) -> DataFrame
 
 
 def signed_documents(rows: DataFrame) -> DataFrame:
-    """Rows (rid, doc_id, text) with their signatures' bands and the key of their multiset, in the shared folder."""
-    return stored(rows.select("rid", F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_sign, _SIGNED), "signed")
+    """Rows (rid, doc_id, text) with their signatures' bands and the key of their multiset, in the shared folder; further columns come along, behind."""
+    kept = ["rid", "doc_id", "text"]
+    own = rows.select("rid", F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[c for c in rows.columns if c not in kept])
+    more = "".join(f", {f.name} {f.dataType.simpleString()}" for f in own.schema.fields[3:])
+    return stored(own.mapInArrow(_sign, _SIGNED + more), "signed")
 
 
 def classes(signed: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -336,12 +340,13 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
 
 
 def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """One row of each class, the first by id, with all columns of ``docs``."""
-    tagged = stored(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.monotonically_increasing_id().alias("rid")), "tagged")
-    signed = signed_documents(tagged.select("rid", F.col("row.doc_id").alias("doc_id"), F.col("row.text").alias("text")))
+    """One row of each class, the first by id, with all columns of ``docs``. Texts are stored once, beside their signatures."""
+    rest = F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in docs.columns if c != "text"])
+    signed = signed_documents(docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text", rest.alias("rest")))
     rows = classes(signed, similarity).join(signed.select("rid", id_key().alias("k")), "rid")
     stay = rows.groupBy("top").agg(F.min(F.struct("k", "rid")).alias("stays")).select(F.col("stays.rid").alias("rid"))
-    return tagged.join(stay, "rid", "left_semi").select("row.*")
+    kept = signed.select("rid", "text", "rest").join(stay, "rid", "left_semi")
+    return kept.select(*[F.col("text") if c == "text" else F.col(f"rest.`{c}`") for c in docs.columns])
 
 
 def op9_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

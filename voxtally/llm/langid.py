@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxtally.llm.shared import documents, fold
+from voxtally.llm.shared import documents, fold, give_back_memory
 
 DIMENSIONS = 1024
 SEED = 20_011
@@ -170,6 +170,7 @@ def predicted(docs: DataFrame, langs: list[str], vectors: np.ndarray):
                 rows = np.arange(at, at + len(part))[some]
                 best[rows] = cosine[some].argmax(axis=1)
                 score[rows] = np.clip(cosine[some].max(axis=1), 0, 1)
+        give_back_memory()
         return pa.StructArray.from_arrays([pa.array(names, pa.string()).take(pa.array(best)), pa.array(score)], names=["lang_pred", "score"])
 
     return predict(F.col("text").cast("string"))

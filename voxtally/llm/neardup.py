@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxtally.llm.graph import components
-from voxtally.llm.shared import documents, id_key, stored
+from voxtally.llm.shared import documents, give_back_memory, id_key, stored
 from voxtally.llm.tokens import spread
 
 SHINGLE_WORDS = 5
@@ -147,6 +147,7 @@ def _sign(batches):
                 [*part.columns[:3], pa.array(total), pa.array(keys[0]), pa.array(keys[1]), lists, sketch, *part.columns[3:]],
                 names=["rid", "doc_id", "text", "n_shingles", "key_a", "key_b", "bands", "sketch", *part.schema.names[3:]],
             )
+        give_back_memory()
 
 
 @functools.lru_cache(maxsize=64)

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from voxtally.llm.shared import documents, new_path, stored
-from voxtally.llm.tokens import spread, word_tokenizer
+from voxtally.llm.tokens import chunks, spread, word_tokenizer
 
 SEQUENCE_TOKENS = 1024
 END_ID = 2
@@ -35,10 +35,8 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, size: int = SEQUENCE_TOKE
 
     def cut(batches):
         words = word_tokenizer(tokenizer_path)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            ids, offsets = words.encode(batch.column(1))
+        for part in (batch.slice(at, end - at) for batch in batches for at, end in chunks(batch.column(1))):
+            ids, offsets = words.encode(part.column(1))
             n = np.diff(offsets) + 1
             whole = np.insert(ids, offsets[1:], end_id).astype("<u4")
             pieces = -(-n // size)
@@ -51,7 +49,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, size: int = SEQUENCE_TOKE
             raw = memoryview(whole.tobytes())
             crc = np.fromiter((zlib.crc32(raw[4 * a : 4 * (a + b)]) for a, b in zip(at.tolist(), length.tolist())), np.int64, len(at))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int32()), pa.array(crc, pa.int64())],
+                [part.column(0).take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int32()), pa.array(crc, pa.int64())],
                 names=["doc_id", "piece", "start", "length", "ids_crc32"],
             )
 

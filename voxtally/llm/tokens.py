@@ -15,6 +15,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
+from voxtally.llm.shared import give_back_memory
+
 #: Characters of text for which words are made distinct together.
 CHUNK_CHARS = 3_000_000
 #: Words that are sent to the tokenizer as one line.
@@ -27,6 +29,16 @@ ODD = r"^\z|^[ \n]|[ \n]\z|[ \n][ \n]|[\x00-\x09\x0b-\x1f\x7f-\xa0\x{1680}\x{180
 BEYOND_LATIN = r"[^\n\x20-\x{012f}\x{0132}-\x{0177}\x{0179}-\x{017e}]"
 
 
+def chunks(texts: pa.Array):
+    """(first row, row after the last) of stretches of CHUNK_CHARS bytes at most, or of one longer text."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)) if len(texts) else np.zeros(0, np.int64)
+    at = 0
+    while at < len(texts):
+        end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + CHUNK_CHARS, "right")))
+        yield at, end
+        at = end
+
+
 class WordTokenizer:
     """``encode`` gives the same ids as the tokenizer over each whole text, without special tokens added."""
 
@@ -50,16 +62,11 @@ class WordTokenizer:
         """Ids of all texts in a row and the offsets of each text; null counts as empty."""
         ids, lengths = [], []
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
-        sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
-        at = 0
-        while at < len(texts):
-            done = sizes[at - 1] if at else 0
-            end = max(at + 1, int(np.searchsorted(sizes, done + CHUNK_CHARS, "right")))
+        for at, end in chunks(texts):
             part, n = self._chunk(texts.slice(at, end - at))
             ids.append(part)
             lengths.append(n)
-            at = end
-            pa.default_memory_pool().release_unused()
+            give_back_memory()
         offsets = np.concatenate([[0], np.cumsum(np.concatenate(lengths))]) if lengths else np.zeros(1, np.int64)
         return np.concatenate(ids) if ids else np.zeros(0, np.int32), offsets.astype(np.int64)
 

@@ -62,7 +62,7 @@ def test_language_of_hard_rows(docs_of, hard):
     assert {r.lang_pred for r in langid.identify(docs_of([(1, "words", None, None)])).collect()} == {"und"}
     docs = docs_of(hard)
     kept = langid.keep_known(docs)
-    known = [text for r, (_, text, *_rest) in zip(rows, hard) if r.lang_pred != "und" and r.score >= langid.LEAST_COSINE]
+    known = [text for r, (_, text, *_rest) in zip(rows, hard) if r.lang_pred != "und"]
     assert kept.columns == docs.columns and Counter(r.text for r in kept.collect()) == Counter(known)
 
 
@@ -89,7 +89,8 @@ def test_bundles_match_a_plain_version():
             # a letter is turned by its place, the boundary's own vector is not
             x = [np.roll(b._vector(ord(c)), 2 - place) if c != " " else b._vector(0) for place, c in enumerate(spaced[k : k + 3])]
             want += x[0].astype(int) * x[1] * x[2]
-        assert np.array_equal(row, want), text
+        assert np.array_equal(row, want), (text, row[:8], want[:8])
+    assert not np.array_equal(*b.bundle(["abc", "cba"])), "the order of letters counts"
 
 
 def test_quality_held_out_accuracy(spark):

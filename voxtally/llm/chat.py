@@ -99,8 +99,10 @@ def leaf_paths(messages: DataFrame, keep: int = 1) -> DataFrame:
 def format_paths(messages: DataFrame, keep: int = 1) -> DataFrame:
     """Parts (tree_id, path, part, body, loss) of the chosen paths; ``loss`` spans the assistant's texts in ``body``.
 
-    Null roles and texts are empty. A part gathers PART_TURNS turns at most, however long a path is.
+    Null roles and texts are empty; a null tree_id or node_id is an id of its own, the smallest one, and a null parent_id makes a root. A part
+    gathers PART_TURNS turns at most, however long a path is.
     """
+    messages = messages.withColumns({c: id_key(c) for c in ("tree_id", "node_id")})
     placed = leaf_paths(messages, keep).join(messages.select("tree_id", "node_id", F.coalesce("role", F.lit("")).alias("role"), text_of().alias("text")), ["tree_id", "node_id"])
     turns = F.sort_array(F.collect_list(F.struct("position", "role", "text"))).alias("turns")
     parts = placed.groupBy("tree_id", "path", F.floor(F.col("position") / PART_TURNS).alias("part")).agg(turns)

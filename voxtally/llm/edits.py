@@ -197,7 +197,19 @@ def apply_edits(trees: DataFrame, edits: Column, tokenizer_path: str) -> DataFra
     ``edits`` is a column of each row: (at, removed, inserted), one after the other, each on the text as the one before left it. Places and
     lengths are clipped to the text, nulls count as 0 and empty; without edits nothing is encoded.
     """
-    schema = "rid long, doc_id long, n_tokens long, n_edits long, edited_chars long, edited_tokens long, encoded_chars long, encoded_segments long"
+    return _edited(trees, edits, tokenizer_path, False)
+
+
+def edited_trees(trees: DataFrame, edits: Column, tokenizer_path: str) -> DataFrame:
+    """The trees after the edits of :func:`apply_edits`, in the shape of :func:`build_trees`, for the next round of edits.
+
+    Store them between rounds; segments that an edit emptied are left out. A row without edits keeps its tree.
+    """
+    return _edited(trees, edits, tokenizer_path, True)
+
+
+def _edited(trees: DataFrame, edits: Column, tokenizer_path: str, whole: bool) -> DataFrame:
+    counts = "rid long, doc_id long, n_tokens long, n_edits long, edited_chars long, edited_tokens long, encoded_chars long, encoded_segments long"
 
     def run(batches):
         tokenizer = word_tokenizer(tokenizer_path).tokenizer
@@ -215,11 +227,22 @@ def apply_edits(trees: DataFrame, edits: Column, tokenizer_path: str) -> DataFra
                     grown.append(tree)
                     due.append(tree.settle())
                 again = [tree.pieces[leaf] for tree, leaves in zip(grown, due) for leaf in leaves]
-                counts = iter([len(e.ids) for e in tokenizer.encode_batch_fast(again, add_special_tokens=False)])
+                fresh = iter([len(e.ids) for e in tokenizer.encode_batch_fast(again, add_special_tokens=False)])
                 for tree, leaves in zip(grown, due):
                     for leaf in leaves:
-                        tree._set(tree.tokens, leaf, next(counts))
+                        tree._set(tree.tokens, leaf, next(fresh))
                 many = lambda values: pa.array(values, pa.int64())
+                if whole:
+                    left = [[(p, t.tokens[t.leaves + k]) for k, p in enumerate(t.pieces) if p] for t in grown]
+                    ints = pa.list_(pa.int32())
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            part.column(0), part.column(1), pa.array(["".join(p for p, _ in pieces) for pieces in left], pa.string()), pa.array([[len(p) for p, _ in pieces] for pieces in left], ints),
+                            pa.array([[n for _, n in pieces] for pieces in left], ints), many([t.tokens[1] for t in grown]),
+                        ],
+                        names=["rid", "doc_id", "text", "segment_chars", "segment_tokens", "n_tokens"],
+                    )
+                    continue
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0), part.column(1), part.column(5), many([len(c or []) for c in columns[4]]), many([t.chars[1] for t in grown]), many([t.tokens[1] for t in grown]),
@@ -228,7 +251,7 @@ def apply_edits(trees: DataFrame, edits: Column, tokenizer_path: str) -> DataFra
                     names=["rid", "doc_id", "n_tokens", "n_edits", "edited_chars", "edited_tokens", "encoded_chars", "encoded_segments"],
                 )
 
-    return trees.select("rid", "doc_id", "text", "segment_chars", "segment_tokens", "n_tokens", edits.cast(EDIT).alias("edits")).mapInArrow(run, schema)
+    return trees.select("rid", "doc_id", "text", "segment_chars", "segment_tokens", "n_tokens", edits.cast(EDIT).alias("edits")).mapInArrow(run, TREE_SCHEMA if whole else counts)
 
 
 def sample_edits() -> Column:

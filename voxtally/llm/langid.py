@@ -23,8 +23,6 @@ SEED = 20_011
 SAMPLE_PER_LANG = 1_500
 FOLDS, HELD_OUT = 4, 2
 UNKNOWN = "und"
-#: No bound: unrelated vectors have cosines of up to a few 1 / sqrt(DIMENSIONS), no less than those of short clean texts.
-LEAST_COSINE = 0.0
 #: Characters and texts whose counts are held at once.
 BATCH_CHARS, BATCH_TEXTS = 800_000, 256
 _GRID = 1 << 24

@@ -305,7 +305,12 @@ def signed_documents(rows: DataFrame) -> DataFrame:
 
 
 def classes(signed: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """rid, top: the row that stands for the class of each row."""
+    """rid, top: the row that stands for the class of each row.
+
+    Bands and the agreement of signatures are made for SIMILARITY; any larger similarity is as safe, a smaller one would lose links and raises.
+    """
+    if similarity < SIMILARITY:
+        raise ValueError(f"signatures are banded for similarities from {SIMILARITY} on, not {similarity}")
     copies = signed.groupBy("key_a", "key_b", "n_shingles").agg(F.min("rid").alias("first"))
     members = signed.select("rid", "key_a", "key_b", "n_shingles").join(copies, ["key_a", "key_b", "n_shingles"]).select("rid", "first")
     members = stored(members, "members")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from voxtally.functions.prefix import with_rank
+
 
 def safe_name(value: Column) -> Column:
     """Anything but letters, digits, dash, underscore and dot becomes an underscore."""
@@ -38,8 +40,7 @@ def run_ids(runs: DataFrame) -> DataFrame:
     """Add ``run_id`` to runs ``(stamp, model, suffix, ord)``: stamp, model and suffix joined; repeats count from 2."""
     part = run_component(F.col("suffix"))
     base = F.concat_ws("_", "stamp", "model", F.when(part != "", part))
-    repeat = F.row_number().over(Window.partitionBy("base").orderBy("ord"))
-    return runs.withColumn("base", base).withColumn("repeat", repeat).withColumn(
+    return with_rank(runs.withColumn("base", base), ["base"], ["ord"], "repeat").withColumn(
         "run_id", F.when(F.col("repeat") == 1, F.col("base")).otherwise(F.concat_ws("_", "base", F.col("repeat").cast("string")))
     ).drop("base", "repeat")
 

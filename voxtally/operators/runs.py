@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from voxtally.functions.prefix import with_carries, with_rank
 from voxtally.operators.overlap import cohort_score
 
+#: Emitted rows of an epoch over which one window runs.
+STRETCH = 4096
+
 
 def run_summary(log: DataFrame) -> DataFrame:
     """One row over a run's case rows.
@@ -63,27 +67,29 @@ def epoch_rollup(steps: DataFrame, measures: list[str]) -> DataFrame:
     return steps.groupBy("epoch").agg(*[F.avg(m).alias(m) for m in measures], F.count(F.lit(1)).alias("steps"))
 
 
-def number_steps(steps: DataFrame, bucket_seconds: int = 3600) -> DataFrame:
-    """``step`` from 1 within each epoch, in time order: ranks inside time buckets plus a running count over buckets."""
-    timed = steps.withColumn("bucket", F.floor(F.col("ts").cast("timestamp").cast("double") / bucket_seconds))
-    counts = timed.groupBy("epoch", "bucket").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("epoch").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("epoch", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    inside = F.row_number().over(Window.partitionBy("epoch", "bucket").orderBy("ts", "step_key"))
-    return timed.withColumn("rank", inside).join(offsets, ["epoch", "bucket"]).withColumn("step", (F.col("offset") + F.col("rank")).cast("int")).drop("bucket", "rank", "offset")
+def number_steps(steps: DataFrame) -> DataFrame:
+    """``step`` from 1 within each epoch, by ``ts`` and ``step_key``."""
+    return with_rank(steps, ["epoch"], ["ts", "step_key"], "step").withColumn("step", F.col("step").cast("int"))
 
 
 def running_means(steps: DataFrame, measures: list[str], every: int = 10) -> DataFrame:
     """Running means within an epoch after every ``every`` steps and after the last.
 
-    Steps are first summed in blocks that end where a row is emitted; only block sums are accumulated.
+    Steps are first summed in blocks that end where a row is emitted, and blocks in stretches of ``STRETCH``: a window runs inside a stretch,
+    another over the stretches of an epoch.
     """
     size = max(int(every), 1)
     blocks = steps.withColumn("block", F.floor((F.col("step") - 1) / size)).groupBy("epoch", "block").agg(
         F.max("step").alias("step"), F.count(F.lit(1)).alias("n"), *[F.sum(m).alias(m) for m in measures]
-    )
-    upto = Window.partitionBy("epoch").orderBy("block").rowsBetween(Window.unboundedPreceding, 0)
-    return blocks.select("epoch", "step", *[(F.sum(m).over(upto) / F.sum("n").over(upto)).alias(f"{m}_running") for m in measures])
+    ).withColumn("stretch", F.floor(F.col("block") / STRETCH))
+    carried = with_carries(blocks, ["epoch"], "stretch", {f"{c}_before": F.sum(c) for c in ("n", *measures)})
+    upto = Window.partitionBy("epoch", "stretch").orderBy("block").rowsBetween(Window.unboundedPreceding, 0)
+
+    def total(c: str) -> Column:
+        own, before = F.sum(c).over(upto), F.col(f"{c}_before")
+        return F.when(own.isNull(), before).otherwise(own + F.coalesce(before, F.lit(0)))
+
+    return carried.select("epoch", "step", *[(total(m) / total("n")).alias(f"{m}_running") for m in measures])
 
 
 def step_pace(steps: DataFrame, every: int = 10) -> DataFrame:

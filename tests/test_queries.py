@@ -12,7 +12,7 @@ NAMES = [
     "dice", "labeled_metrics", "binary_stats", "mask_union", "component_stats", "largest_component", "surface_dice", "rasterize_line", "prompt_region", "derive_endpoints", "marker_to_target",
     "select_target_instance", "keep_prompt_component", "remove_small_islands", "merge_report", "compose_organ_labels", "border_change", "refinement_boxes", "filter_available", "dedupe_records",
     "target_audit", "integrity_report", "run_summary", "memory_time", "running_means", "class_ce_dice", "plan_training_crops", "normalization_stats", "crop_zscore", "prompt_crop",
-    "resample_anisotropic", "multifov_crop", "threshold_sweep", "cache_lookup", "stream_run_status",
+    "resample_anisotropic", "multifov_crop", "threshold_sweep", "cache_lookup", "cache_store", "run_ids", "exact_percentiles", "stream_run_status",
 ]
 
 

@@ -60,12 +60,6 @@ def missing_sources(plan: DataFrame, sources: DataFrame) -> DataFrame:
     return plan.where("status = 'written'").select("source_key").distinct().join(usable_sources(sources).select("source_key"), "source_key", "left_anti")
 
 
-def append_entries(entries: DataFrame, path: str) -> None:
-    """Add entries, partitioned by the first two digits of their key."""
-    key = "target_key" if "target_key" in entries.columns else "source_key"
-    entries.withColumn("prefix", F.substring(key, 1, 2)).write.mode("append").partitionBy("prefix").parquet(path)
-
-
 def cache_lookup(records: DataFrame, sources: DataFrame, targets: DataFrame) -> DataFrame:
     """Cached target of each record: by exact key, else by case id, first in path order.
 

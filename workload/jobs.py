@@ -15,6 +15,7 @@ from voxtally.plans import assemble as asm
 from voxtally.plans import autozoom as az
 from voxtally.plans import evaluate as ev
 from voxtally.sources import cache as ca
+from voxtally.sources import cache_store as cs
 from voxtally.sources import files as fl
 from voxtally.sources import volumes as vo
 from voxtally.session import cut_lineage, shared_folder
@@ -126,6 +127,21 @@ def cache_lookup(spark, d):
     return ca.cache_lookup(*_cache(spark, d)).select("case_id", "entry_key", "used_fallback")
 
 
+@query("cache_store", [], """SELECT sha256('t' || doc_id) AS target_key, sha256('s' || doc_id) AS source_key, doc_id AS case_id, toxic = 1 AS from_first_write, 0 AS again
+  FROM labels WHERE quality = 1""")
+def cache_store(spark, d):
+    """Stores entries twice, part and whole, then once more for nothing, and reads every one back by its key."""
+    path = cs.create_store(spark, f"{shared_folder(spark)}/cache-{os.urandom(6).hex()}")
+    good = fx.table(spark, d, "labels").where("quality = 1")
+    entries = good.selectExpr("sha2(concat('t', doc_id), 256) AS target_key", "sha2(concat('s', doc_id), 256) AS source_key", "doc_id AS case_id")
+    first = cs.store_entries(entries.join(good.where("toxic = 1").selectExpr("doc_id AS case_id"), "case_id", "left_semi").select(*entries.columns), path, "target_key")
+    second, again = cs.store_entries(entries, path, "target_key"), cs.store_entries(entries, path, "target_key")
+    runs = cs.marks(spark, path).where(F.col("entries").isin([n for n in (first, second) if n])).count()
+    found = cs.lookup_entries(entries.select("target_key"), path, entries.schema, "target_key")
+    toxic = good.selectExpr("doc_id AS case_id", "toxic = 1 AS from_first_write")
+    return found.select("entry.*").join(toxic, "case_id").select("target_key", "source_key", "case_id", "from_first_write", F.lit(again if runs == (first > 0) + (second > 0) else -1).alias("again"))
+
+
 @query("file_fingerprint", ["manifest", "file_listing"], """SELECT DISTINCT image_path AS path, length AS size, seconds * 1000000 AS mtime_us, length IS NULL AS missing FROM manifest m LEFT JOIN file_listing f ON f.path = m.image_path""")
 def file_fingerprint(spark, d):
     wanted = fx.manifest(spark, d).select(F.col("image_path").alias("path")).distinct()

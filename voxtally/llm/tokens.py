@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import functools
 import json
+import os
 
 import numpy as np
 import pyarrow as pa
@@ -17,8 +18,11 @@ from tokenizers import Tokenizer
 
 from voxtally.llm.shared import give_back_memory
 
+# Spark's slots are the threads; the library's own would wait for each other on the same cores, and each holds memory.
+os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+
 #: Characters of text for which words are made distinct together.
-CHUNK_CHARS = 3_000_000
+CHUNK_CHARS = 6_000_000
 #: Words that are sent to the tokenizer as one line.
 LINE_WORDS = 256
 #: Lines that are encoded before their ids are taken out.

@@ -1,11 +1,14 @@
-"""Mixing sources to target weights: repetition rates from word totals, whole copies plus one hash-seeded Bernoulli copy."""
+"""Mixing sources to target weights: repetition rates from word totals, whole copies plus one hash-seeded Bernoulli copy.
+
+The Bernoulli chance is the fraction of the rate, set on the draws themselves so that each source meets its target.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from voxtally.llm.shared import documents, text_of
+from voxtally.llm.shared import documents, stored, text_of
 
 #: A word is a run of other characters than these blanks.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -40,23 +43,39 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     return levels.withColumn("level", F.max("level").over(everything)).select("source", "source_size", F.least(F.col("cap").cast("double"), F.col("level") * F.col("weight")).alias("target"))
 
 
-def draw() -> Column:
-    """Uniform in [0, 1) from the id alone, so reruns and retried tasks agree."""
-    digest = F.md5(F.concat(F.lit(SEED + "|"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
-    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") / F.lit(16.0**13)
+def step() -> Column:
+    """Which of 4,096 steps of [0, 1) the draw falls in (three hexadecimal digits), from id and text alone, so reruns and retried tasks agree."""
+    digest = F.md5(F.concat(F.lit(SEED + "|"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("|"), text_of()).cast("binary"))
+    return F.conv(F.substring(digest, 1, 3), 16, 10).cast("int")
+
+
+def source_rates(steps: DataFrame) -> DataFrame:
+    """source, source_size, target, whole, steps_taken from the columns source, step and size: one row per source.
+
+    A source's documents are taken ``whole`` times, and once more if their step is below ``steps_taken``. That is the fraction of the rate
+    as the draws have it: as many steps as bring the words nearest to the target, so a source is off by half a step's words at most.
+    """
+    words = steps.groupBy("source", "step").agg(F.sum("size").cast("long").alias("size"))
+    words = stored(words, "steps")
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    targets = source_targets(words).withColumn("whole", F.floor(rate)).withColumn("more", F.col("target") - F.col("whole") * F.col("source_size"))
+    up_to = Window.partitionBy("source").orderBy("step").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    middles = words.select(F.col("source").alias("of_source"), "step", (F.sum("size").over(up_to) - F.col("size") / F.lit(2.0)).alias("middle"))
+    taken = F.max(F.when((F.col("more") > 0) & (F.col("middle") <= F.col("more")), F.col("step") + 1))
+    met = targets.join(middles, F.col("source").eqNullSafe(F.col("of_source")))
+    return met.groupBy("source", "source_size", "target", "whole").agg(F.coalesce(taken, F.lit(0)).alias("steps_taken"))
 
 
 def mixed(docs: DataFrame) -> DataFrame:
     """All columns of the documents in ``row``, with size, source_size, target and copies.
 
     Null texts have size 0; a null source is a source of its own; a source without words has target 0 and keeps nothing. Rows with one id
-    share one draw. An empty table gives no rows.
+    and one text share one draw. An empty table gives no rows.
     """
-    sized = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("doc_id"), F.col("source").alias("source"), word_count().alias("size"))
-    targets = source_targets(sized.select("source", "size")).select(F.col("source").alias("of_source"), "source_size", "target")
-    joined = sized.join(targets, F.col("source").eqNullSafe(F.col("of_source")))
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    return joined.withColumn("rate", rate).withColumn("copies", (F.floor("rate") + (draw() < F.col("rate") - F.floor("rate")).cast("long")).cast("int"))
+    drawn = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("source").alias("source"), word_count().alias("size"), step().alias("step"))
+    rates = source_rates(drawn.select("source", "size", "step")).withColumnRenamed("source", "of_source")
+    joined = drawn.join(rates, F.col("source").eqNullSafe(F.col("of_source")))
+    return joined.withColumn("copies", (F.col("whole") + (F.col("step") < F.col("steps_taken")).cast("long")).cast("int"))
 
 
 def mix(docs: DataFrame) -> DataFrame:
@@ -65,17 +84,22 @@ def mix(docs: DataFrame) -> DataFrame:
 
 
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's size, its source's size and target, and the words that the mix takes of it; edge cases as in ``mixed``."""
     rows = mixed(documents(spark, sf_dir).select("doc_id", "text", "source"))
-    return rows.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+    return rows.select(F.col("row.doc_id").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 OP8_SQL = r"""
-WITH sized AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
+WITH sized AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+  ('0x' || substr(md5('mix|' || coalesce(doc_id::VARCHAR, '') || '|' || coalesce(text, '')), 1, 3))::BIGINT AS step FROM documents),
 per AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY 1),
 weighed AS (SELECT *, 2 * source_size AS cap, [3, 1, 2][(row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % 3 + 1] AS weight FROM per),
 levels AS (SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(cap) OVER w, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER w, 0))::DOUBLE AS level
   FROM weighed WINDOW w AS (ORDER BY cap::DOUBLE / weight, encode(source) NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 targets AS (SELECT source, source_size, least(cap::DOUBLE, weight * max(level) OVER ()) AS target FROM levels),
-rated AS (SELECT doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target, CAST((floor(rate) + CASE WHEN ('0x' || substr(md5('mix|' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE < rate - floor(rate) THEN 1 ELSE 0 END) * size AS BIGINT) AS taken
-FROM rated"""
+rates AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS whole FROM targets),
+words AS (SELECT source, step, sum(size)::BIGINT AS size FROM sized GROUP BY 1, 2),
+middles AS (SELECT source, step, sum(size) OVER (PARTITION BY source ORDER BY step) - size / 2.0::DOUBLE AS middle FROM words),
+taken AS (SELECT r.source, max(step) AS last_step FROM rates r JOIN middles m ON r.source IS NOT DISTINCT FROM m.source WHERE target - whole * source_size > 0 AND middle <= target - whole * source_size GROUP BY 1)
+SELECT doc_id, size, source_size, target, CAST((whole + CASE WHEN step <= coalesce(last_step, -1) THEN 1 ELSE 0 END) * size AS BIGINT) AS taken
+FROM sized s JOIN rates r ON s.source IS NOT DISTINCT FROM r.source LEFT JOIN taken t ON r.source IS NOT DISTINCT FROM t.source"""

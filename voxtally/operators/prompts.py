@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from voxtally.functions.geometry import ENDS, clip_to_frame, effective_endpoints, shift_to_wrong_place
 from voxtally.operators.components import component_runs
@@ -209,25 +211,70 @@ def marker_components(marker: DataFrame) -> DataFrame:
     )
 
 
+def _outline(ys: list[int], xs: list[int], side: int) -> list[tuple[int, int]]:
+    """Corners of the convex outline through one point a line, ``ys`` rising; ``side`` 1 follows the smallest x, -1 the largest."""
+    corners: list[tuple[int, int]] = []
+    for y, x in zip(ys, xs, strict=True):
+        while len(corners) > 1:
+            (fy, fx), (my, mx) = corners[-2:]
+            if side * ((mx - fx) * (y - my) - (x - mx) * (my - fy)) < 0:
+                break
+            corners.pop()
+        corners.append((y, x))
+    return corners
+
+
+def _farthest(corners: list[tuple[int, int]]) -> tuple[int, int, int, int]:
+    """The farthest pair of a convex polygon's corners by calipers, the first in raster order on ties.
+
+    Every pair of largest distance has parallel supporting lines, so the corners opposite to each edge hold all of them.
+    """
+
+    def rank(i: int, j: int) -> tuple[int, ...]:
+        a, b = sorted((corners[i], corners[j]))
+        return -((a[0] - b[0]) ** 2 + (a[1] - b[1]) ** 2), *a, *b
+
+    n = len(corners)
+    if n < 3:
+        return rank(0, n - 1)[1:]
+
+    def height(i: int, k: int, j: int) -> int:
+        (iy, ix), (ky, kx), (jy, jx) = corners[i], corners[k], corners[j]
+        return abs((ky - iy) * (jx - ix) - (kx - ix) * (jy - iy))
+
+    best, j = rank(0, 1), 1
+    for i in range(n):
+        k = (i + 1) % n
+        while height(i, k, (j + 1) % n) > height(i, k, j):
+            j = (j + 1) % n
+        best = min(best, rank(i, j), rank(k, j))
+        if height(i, k, (j + 1) % n) == height(i, k, j):
+            best = min(best, rank(i, (j + 1) % n), rank(k, (j + 1) % n))
+    return best[1:]
+
+
+@F.pandas_udf(T.StructType([T.StructField(name, T.DoubleType()) for name in ("ay", "ax", "by", "bx")]))
+def _widest(rows: pd.Series) -> pd.DataFrame:
+    """The farthest pair of each slice from its lines (y, x0, x1)."""
+    pairs = []
+    for lines in rows:
+        ys, lows, highs = zip(*sorted((r["y"], r["x0"], r["x1"]) for r in lines), strict=True)
+        left, right = _outline(ys, lows, 1), _outline(ys, highs, -1)
+        pairs.append(_farthest(list(dict.fromkeys(left + right[::-1]))))
+    return pd.DataFrame(pairs, columns=["ay", "ax", "by", "bx"], dtype=float)
+
+
 def derive_endpoints(mask_runs: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     """Endpoints of each mask from its runs: the slice with most voxels (lowest on ties), then its farthest pair.
 
-    Only the outermost voxels of each line can be an end of the farthest pair, so a slice shrinks to two points per line
-    before pairs are weighed. Ties go to the first pair in raster order.
+    Slices are first counted; only the runs of the chosen ones travel on. The outermost voxels of their lines form the hull whose opposite
+    corners are weighed, so a slice costs as much as it has lines. Ties go to the first pair in raster order.
     """
-    lines = mask_runs.groupBy(*keys, "z", "y").agg(
-        F.sum(F.expr("cast(x1 - x0 + 1 AS bigint)")).alias("n"), F.min("x0").alias("x0"), F.max("x1").alias("x1")
-    )
-    slices = lines.groupBy(*keys, "z").agg(F.sum("n").alias("area"), F.collect_list(F.struct("y", "x0", "x1")).alias("rows"))
-    peak = slices.groupBy(*keys).agg(
-        F.max_by(F.struct("z", "rows"), F.struct("area", -F.col("z"))).alias("s"), F.sum("area").alias("marker_voxels")
-    )
-    pair = """array_max(transform(points, p -> array_max(transform(points, q -> named_struct(
-        'd2', (p.y - q.y) * (p.y - q.y) + (p.x - q.x) * (p.x - q.x), 'ay', -p.y, 'ax', -p.x, 'by', -q.y, 'bx', -q.x)))))"""
-    return peak.selectExpr(
-        *keys, "s.z AS slice", "marker_voxels",
-        "array_distinct(flatten(transform(s.rows, r -> array(named_struct('y', r.y, 'x', r.x0), named_struct('y', r.y, 'x', r.x1))))) AS points",
-    ).selectExpr(*keys, "slice", "marker_voxels", f"{pair} AS pair").selectExpr(
-        *keys, "slice", "marker_voxels", "cast(-pair.ax AS double) AS ax", "cast(-pair.ay AS double) AS ay", "cast(slice AS double) AS az",
-        "cast(-pair.bx AS double) AS bx", "cast(-pair.by AS double) AS by", "cast(slice AS double) AS bz",
+    areas = mask_runs.groupBy(*keys, "z").agg(F.sum(F.expr("cast(x1 - x0 + 1 AS bigint)")).alias("area"))
+    peak = areas.groupBy(*keys).agg(F.max_by("z", F.struct("area", -F.col("z"))).alias("z"), F.sum("area").alias("marker_voxels"))
+    lines = mask_runs.join(peak, [*keys, "z"]).groupBy(*keys, "z", "marker_voxels", "y").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1"))
+    slices = lines.groupBy(*keys, "z", "marker_voxels").agg(F.collect_list(F.struct("y", "x0", "x1")).alias("rows"))
+    level = F.col("z").cast("double")
+    return slices.withColumn("pair", _widest("rows")).select(
+        *keys, F.col("z").alias("slice"), "marker_voxels", "pair.ax", "pair.ay", level.alias("az"), "pair.bx", "pair.by", level.alias("bz")
     )

@@ -48,3 +48,12 @@ def test_slice_of_very_many_lines(spark):
 
 def test_no_runs(spark):
     assert pr.derive_endpoints(spark.createDataFrame([], "case_id string, z int, y int, x0 int, x1 int"), ("case_id",)).collect() == []
+
+
+def test_runs_are_sent_once(spark, sf_dir):
+    from voxtally.operators import components as cc
+    from workload import fixtures as fx
+
+    ends = pr.derive_endpoints(cc.mask_runs(fx.gt(spark, sf_dir)), ("case_id", "label"))
+    plan = ends._jdf.queryExecution().executedPlan().toString()
+    assert "y#" not in "".join(line for line in plan.splitlines() if "Exchange hashpartitioning" in line)

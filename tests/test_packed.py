@@ -1,8 +1,11 @@
 """Runs travel packed, a row for each slice; tables of components are not sent to every task."""
 
+import re
+
 import pytest
 
 from voxtally.operators import components as cc
+from voxtally.operators import overlap as ov
 from voxtally.operators import prompts as pr
 from voxtally.operators import targets as tg
 
@@ -22,6 +25,25 @@ def mask(spark):
     return grid.selectExpr("if(c = 2, null, c) AS case_id", "if(z = 4, null, z) AS z", "if(y = 12, null, y) AS y", "if(id % 97 = 0, null, x) AS x", "cast(1 + id % 2 AS int) AS label")
 
 
+def test_packed_runs_are_the_runs(mask):
+    mask = mask.coalesce(1)
+    packed = cc.packed_stretches(mask, ("case_id", "label"))
+    assert packed.count() == mask.select("case_id", "z").distinct().count()
+    loose = packed.selectExpr("case_id", "z", "inline(arrays_zip(label, y, x0, x1))")
+    assert rows(loose.select("case_id", "label", "z", "y", "x0", "x1")) == rows(cc.stretches(mask))
+
+
+def test_pairs_meet_by_slice(spark, mask):
+    other = mask.where("label = 1 OR y < 5").selectExpr("case_id", "z", "y", "(x + 3) % 31 AS x", "label")
+    met = ov.paired_runs(mask, other)
+    assert not re.search(r"hashpartitioning\([^)]*\by#", plan(met))
+    mask.createOrReplaceTempView("packed_a")
+    other.createOrReplaceTempView("packed_b")
+    plain = spark.sql("""SELECT case_id, z, y, x, max(if(s = 0, label, 0)) AS g, max(if(s = 1, label, 0)) AS p
+      FROM (SELECT *, 0 AS s FROM packed_a UNION ALL SELECT *, 1 FROM packed_b) GROUP BY 1, 2, 3, 4""")
+    assert rows(ov.paired(mask, other)) == rows(plain)
+
+
 def test_components_are_not_broadcast(mask):
     mask = mask.dropna()
     runs = cc.component_runs(mask)

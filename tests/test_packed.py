@@ -5,10 +5,13 @@ import re
 import pytest
 
 from voxtally.operators import components as cc
+from voxtally.operators import crops as cr
 from voxtally.operators import overlap as ov
 from voxtally.operators import prompts as pr
 from voxtally.operators import targets as tg
 
+WINDOWED = "case_id bigint, w_z0 int, w_z1 int, w_y0 int, w_y1 int, w_x0 int, w_x1 int, sz double, sy double, sx double, ax double, ay double, az double, bx double, by double, bz double, slice int, nz int, ny int, nx int"
+
 
 def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
@@ -44,6 +47,17 @@ def test_pairs_meet_by_slice(spark, mask):
     assert rows(ov.paired(mask, other)) == rows(plain)
 
 
+def test_box_tail_of_packed_targets(spark):
+    """Box too large, all well inside, most outside the window, no target; the shuffle before the join carries packed runs."""
+    ends = (20.0, 20.0, 8.0, 24.0, 20.0, 8.0, 8, 24, 50, 50)
+    windows = spark.createDataFrame([(c, 0, 16, 0, 40, 0, 44, 1.0, 1.0, 1.0, *ends) for c in range(4)], WINDOWED)
+    spots = [(0, 8, 10, x) for x in range(2, 48)] + [(1, z, y, x) for z in (7, 8, 9) for y in (18, 20, 22) for x in (20, 21, 25)] + [(2, 8, y, 20) for y in range(10, 48)]
+    target = spark.createDataFrame(spots, "case_id bigint, z int, y int, x int").coalesce(1)
+    got = cr.needs_bbox_tail(windows, target, (16, 40, 44), 3.0)
+    assert rows(got) == [(0, True), (1, False), (2, True), (3, False)]
+    assert "arrays_zip" in plan(got)
+
+
 def test_components_are_not_broadcast(mask):
     mask = mask.dropna()
     runs = cc.component_runs(mask)
